@@ -89,7 +89,7 @@ def write_archives(records: DataFrame, folder: str, key: str = "page_id", payloa
                     body = b"" if kind == "revisit" else body.encode()
                     record = header_lines(page_id, url, kind, refers_to, digest, size, len(body)) + body + b"\r\n\r\n"
                     packed = gzip.compress(record, level, mtime=0)
-                    sink = sink or store.open_output_stream(f"{place}/{name}")
+                    sink = sink or store.open_output_stream(f"{place}/{name}", compression=None)
                     sink.write(packed)
                     rows.append((page_id, url, digest, size, kind, refers_to, name, offset, len(packed)))
                     offset += len(packed)
