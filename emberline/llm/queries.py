@@ -14,6 +14,18 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mpegts import store_and_probe
 
@@ -33,6 +45,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,5 +59,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op4_mpegts": op4_mpegts, "op5_packing": op5_packing, "op8_warc": op8_warc, "op10_bpe": op10_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op9_language": op9_language, "op4_mpegts": op4_mpegts, "op5_packing": op5_packing, "op8_warc": op8_warc, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}
