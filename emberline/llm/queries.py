@@ -26,6 +26,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mpegts import store_and_probe
 
@@ -38,6 +44,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -59,5 +77,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op9_language": op9_language, "op4_mpegts": op4_mpegts, "op5_packing": op5_packing, "op8_warc": op8_warc, "op10_bpe": op10_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op9_language": op9_language, "op3_neighbours": op3_neighbours, "op4_mpegts": op4_mpegts, "op5_packing": op5_packing, "op6_main_text": op6_main_text, "op7_passages": op7_passages, "op8_warc": op8_warc, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}
