@@ -53,3 +53,14 @@ def fold(doc_id: Column) -> Column:
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether a side has been counted to hold at most max_rows rows (the check before a broadcast)."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded(df: DataFrame, max_rows: int = 4_000_000) -> DataFrame:
+    """The side of a join with a broadcast hint if it is counted to hold at most max_rows rows; else as it is."""
+    return F.broadcast(df) if small_enough(df, max_rows) else df
+
+
+def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose key is not among ids (one column); rows with a null key stay."""
+    gone = written(ids.toDF("_gone").filter("_gone is not null").distinct(), "gone")
+    return df.join(bounded(gone), F.col(key) == F.col("_gone"), "left_anti")

@@ -179,11 +179,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return mean, scale, w
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Score every whole text for toxicity; learns from labels of rows whose fold is not held out.
 
-    Gives (key, held_out, score, predicted), or with keep the own columns and these.  Counts come
-    from all labelled rows of two folds, calibration from up to MAX_CALIBRATION_ROWS rows of a third.
+    Gives (key, held_out, score, predicted).  Counts come from all labelled rows of two folds, calibration from up to MAX_CALIBRATION_ROWS rows of a third.
     Null and empty texts get the score of a text without words; without labels of both classes every
     score is the share of toxic labels (0 without labels).  Repeated labels of a key count as toxic if
     any says so; null labels and null keys of labels are left out.
@@ -206,10 +205,4 @@ def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     else:
         score = F.lit(float(y.mean()) if len(y) else 0.0)
     judged = found.select(F.col(key), score.alias("score"))
-    if keep:
-        if judged.isEmpty():
-            return df.withColumns({"held_out": F.lit(False), "score": F.lit(0.0), "predicted": F.lit(0)}).limit(0)
-        flagged = judged.groupBy(F.col(key).alias("_key")).agg(F.max("score").alias("_score"))
-        own = df.drop("held_out", "score", "predicted").join(flagged, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-        return own.withColumnRenamed("_score", "score").withColumns({"held_out": fold(F.col(key)) == HELD_OUT, "predicted": (F.col("score") >= 0.3).cast("int")})
     return judged.select(key, (fold(F.col(key)) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
