@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces remembered by a worker before it starts anew; bounds memory, never results.
-MAX_REMEMBERED = 1_200_000
+MAX_REMEMBERED = 700_000
 TOUCHING_SPACE = re.compile(r"\s\s")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Attention cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Chunks remembered by a worker before it starts anew; bounds memory, never results.
-MAX_REMEMBERED = 1_200_000
+MAX_REMEMBERED = 700_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
