@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded, table, without, written
+from emberline.llm.common import bounded, small_batches, table, without, written
 
 #: A document is rejected for its language if no profile comes this near (or it has no letter).
 LEAST_LANGUAGE_SCORE = 0.2
@@ -19,6 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that some language's profile fits; null texts and texts without a letter go."""
     from emberline.llm.language import UNKNOWN, identify
 
+    small_batches(spark)
     judged = identify(docs, keep=True)
     return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 

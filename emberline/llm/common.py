@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 FOLDS, HELD_OUT = 4, 2
 
 
+#: Rows in one Arrow batch; whole texts can be long, and two tasks share an executor's memory.
+ROWS_A_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small in this session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_A_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
