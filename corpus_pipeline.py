@@ -13,6 +13,8 @@ from emberline.llm.common import bounded, small_batches, table, without, written
 
 #: A document is rejected for its language if no profile comes this near (or it has no letter).
 LEAST_LANGUAGE_SCORE = 0.2
+#: Words that a worker keeps encoded: few, as workers serve all stages and keep what they hold.
+REMEMBERED = 120_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from emberline.llm.packing import pack
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", packing)]

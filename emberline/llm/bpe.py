@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Pieces remembered by a worker before it starts anew; bounds memory, never results.
 MAX_REMEMBERED = 700_000
 TOUCHING_SPACE = re.compile(r"\s\s")
@@ -226,4 +228,4 @@ def token_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", t
             )
 
     narrow = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow.mapInArrow(lean(digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

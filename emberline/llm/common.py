@@ -56,6 +56,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """Wrap a batch function so that a reused worker gives freed memory back after each task."""
+
+    def wrapped(batches):
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            import ctypes
+
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # not glibc
+
+    return wrapped
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod FOLDS; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS

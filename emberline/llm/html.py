@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, written
+from .common import lean, small_enough, written
 
 # HTML element names by their role, and class words of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -196,7 +196,7 @@ def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.3,
                 lists.append(subtree_hashes(root))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["host", "content", "subtrees"])
 
-    seen = pages.filter(F.col(html).isNotNull()).select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, content long, subtrees array<long>")
+    seen = pages.filter(F.col(html).isNotNull()).select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(lean(run), "host string, content long, subtrees array<long>")
     seen = written(seen, "subtrees")
     sizes = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = seen.select("host", "content", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
@@ -221,4 +221,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             texts = [main_text(parse(h.as_py() or ""), frozenset(t.as_py() or ())) for h, t in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[key, "url", "text", "n_chars"])
 
-    return joined.select(F.col(key).cast("long").alias(key), "url", "html", "templates").mapInArrow(run, f"`{key}` long, url string, text string, n_chars long")
+    return joined.select(F.col(key).cast("long").alias(key), "url", "html", "templates").mapInArrow(lean(run), f"`{key}` long, url string, text string, n_chars long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HELD_OUT, fold
+from .common import HELD_OUT, fold, lean
 
 UNKNOWN, BLANK, SHIFT = "und", 32, 21
 
@@ -67,7 +67,7 @@ def profiles(rows: DataFrame, size: int = 400, language: str = "lang", text: str
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts.astype(np.int64))], names=["lang", "code", "n"])
 
     known = rows.filter(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("lang"), F.col(text).alias("text"))
-    counts = known.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(lean(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     return counts.withColumn("place", place).filter(F.col("place") <= size).select("lang", "code", (F.col("place") - 1).alias("place"))
 

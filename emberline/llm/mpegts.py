@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, PAT_PID, STREAM_PRIVATE_PES, STREAM_ID_PRIVATE_1 = 188, 0x47, 0x0000, 0x06, 0xBD
 #: Our own choices: identifiers, payload bytes per access unit, and 90 kHz ticks between access units.
@@ -222,4 +224,4 @@ def store_and_probe(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in PROBED.split(", ")])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PROBED)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), PROBED)

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Attention cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Chunks remembered by a worker before it starts anew; bounds memory, never results.
@@ -42,9 +44,11 @@ class WordEncoder:
     encoded as one text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = MAX_REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.limit = remembered
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
@@ -76,16 +80,16 @@ class WordEncoder:
             return np.frombuffer(b"".join(map(self.known.get, chunks)), "<u4")
         except TypeError:
             new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-            if len(self.known) + len(new) > MAX_REMEMBERED:
+            if len(self.known) + len(new) > self.limit:
                 self.known.clear()
                 new = list(dict.fromkeys(chunks))
             self._learn(new)
             return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<u4")
 
 
-@functools.lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+@functools.lru_cache(maxsize=1)
+def word_encoder(path: str, remembered: int = MAX_REMEMBERED) -> WordEncoder:
+    return WordEncoder(path, remembered)
 
 
 def capacities(tokens: int, capacity: int, last: bool) -> list[int]:
@@ -120,16 +124,17 @@ def assign(pieces: list[tuple[int, int, int]], room: list[int]) -> tuple[list[tu
     return placed, left
 
 
-def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, block_tokens: int = 2_000_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, block_tokens: int = 2_000_000, remembered: int = MAX_REMEMBERED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pack every row's ids (its text's, then end_id) into sequences; one output row per piece.
 
     Null texts count as empty (end_id only), null keys stay null, repeated rows are packed each on
     its own, other columns are ignored, an empty table gives no rows.  A sequence never spans tasks;
-    its id holds the partition in the upper 32 bits and a running number below.
+    its id holds the partition in the upper 32 bits and a running number below.  remembered bounds the
+    chunks that a worker process keeps between tasks: more is faster, less leaves memory to others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, base = word_encoder(path), TaskContext.get().partitionId() << 32
+        encoder, base = word_encoder(path, remembered), TaskContext.get().partitionId() << 32
         held: dict[int, tuple[object, np.ndarray]] = {}
         pieces: list[tuple[int, int, int]] = []
         tokens = number = done = 0
@@ -166,4 +171,4 @@ def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, block_
         if pieces:
             yield flush(True)
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), SCHEMA)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .graph import connected_components
 
 SEED, BITS = 42, 64
@@ -49,7 +49,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
             found = np.array([fingerprint(t.as_py() or "", shingle_words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=[key, "fp"])
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(run, f"`{key}` long, fp long")
+    return df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).mapInArrow(lean(run), f"`{key}` long, fp long")
 
 
 def ball(radius: int) -> list[int]:

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HELD_OUT, fold, small_enough, written
+from .common import HELD_OUT, fold, lean, small_enough, written
 
 ORDER, DISCOUNT, START, END = 5, 0.75, "^", "$"
 WORD = re.compile(r"\w+")
 #: Fold used for calibration alone, and the greatest number of labelled rows that it takes.
 CALIBRATION, MAX_CALIBRATION_ROWS = 3, 50_000
 #: Sides above this many rows are joined by shuffles instead of broadcasts.
-MAX_BROADCAST_ROWS, MAX_REMEMBERED = 4_000_000, 400_000
+MAX_BROADCAST_ROWS, MAX_REMEMBERED = 1_500_000, 200_000
 FEATURES = ("mean_llr", "top_llr", "top3_llr", "top10_llr", "log_words")
 
 
@@ -51,7 +51,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
                 yield rows()
         yield rows()
 
-    found = labelled.select("toxic", "text").mapInArrow(run, "word string, toxic long, other long")
+    found = labelled.select("toxic", "text").mapInArrow(lean(run), "word string, toxic long, other long")
     return found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
@@ -144,7 +144,7 @@ def features(df: DataFrame, model: DataFrame, key: str, text: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)], names=[key, *FEATURES])
 
-        return narrow.mapInArrow(run, spec)
+        return narrow.mapInArrow(lean(run), spec)
     rows = narrow.withColumn("_row", F.monotonically_increasing_id())
     rows = written(rows.select("_row", key, F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+', 0)").alias("words")), "words")
     each = rows.select("_row", F.explode("words").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("n"))

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import lean, scratch
 
 INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, archive string, offset long, length long"
 READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -101,7 +101,7 @@ def write_archives(records: DataFrame, folder: str, key: str = "page_id", payloa
                 sink.close()
 
     columns = [F.col(key).cast("long").alias("page_id"), F.col("url"), F.col("record_type"), F.col("refers_to").cast("long"), F.col("payload_digest"), F.col("payload_bytes"), F.col(payload)]
-    return records.select(*columns).mapInArrow(run, INDEX)
+    return records.select(*columns).mapInArrow(lean(run), INDEX)
 
 
 def coalesced(ranges: Iterable[tuple[str, int, int]], gap: int, most: int) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
@@ -162,7 +162,7 @@ def read_records(index: DataFrame, folder: str, partitions: int | None = None, g
 
     places = index.select("archive", "offset", "length")
     places = places.repartitionByRange(partitions, "archive", "offset") if partitions else places.repartitionByRange("archive", "offset")
-    return places.sortWithinPartitions("archive", "offset").mapInArrow(run, READ)
+    return places.sortWithinPartitions("archive", "offset").mapInArrow(lean(run), READ)
 
 
 def archive_round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", min_bytes: int = 0) -> DataFrame:
