@@ -170,5 +170,7 @@ def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, block_
                     yield flush(False)
         if pieces:
             yield flush(True)
+        if remembered < MAX_REMEMBERED:
+            word_encoder.cache_clear()
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), SCHEMA)

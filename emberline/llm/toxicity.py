@@ -27,7 +27,7 @@ WORD = re.compile(r"\w+")
 #: Fold used for calibration alone, and the greatest number of labelled rows that it takes.
 CALIBRATION, MAX_CALIBRATION_ROWS = 3, 50_000
 #: Sides above this many rows are joined by shuffles instead of broadcasts.
-MAX_BROADCAST_ROWS, MAX_REMEMBERED = 1_500_000, 200_000
+MAX_BROADCAST_ROWS, MAX_REMEMBERED = 1_500_000, 120_000
 FEATURES = ("mean_llr", "top_llr", "top3_llr", "top10_llr", "log_words")
 
 
