@@ -5,7 +5,7 @@ from emberline.plans.dialect import sql_query
 TOK = "t AS (SELECT doc_id, source, lang, <<tokens:text>> AS toks FROM documents)"
 TERMS = f"{TOK}, d AS (SELECT doc_id, source, <<explode:<<distinct:toks>>>> AS term FROM t), n AS (SELECT count(*) AS total FROM documents), st AS (SELECT term, count(*) AS df, count(DISTINCT source) AS sources, min(doc_id) AS first_doc FROM d GROUP BY term)"
 BTOK = "b AS (SELECT item_id, <<distinct:<<tokens:text>>>> AS toks FROM benchmark)"
-DOT = "<<dot:{a}, {b}>>"
+DOT = "<<dot:<<dvec:{a}>>, <<dvec:{b}>>>>"
 
 for name, row, text in [
     ("tokenize", "I3", f"WITH {TOK} SELECT doc_id, cast(<<size:toks>> AS bigint) AS n, cast(<<size:<<distinct:toks>>>> AS bigint) AS n_distinct FROM t"),
@@ -22,11 +22,11 @@ for name, row, text in [
     ("demand_clusters", "D18, D43", "SELECT conv_id, count(*) AS messages, count(DISTINCT role) AS roles, max(turn) AS last_turn, round(count(*) + ln(1 + sum(length(text))), 6) AS volume FROM conversations GROUP BY conv_id"),
     ("sparkline", "E5", "SELECT source, count(*) AS n, round(avg(n_chars), 4) AS mean FROM documents GROUP BY source"),
     ("html_extract", "A19", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'html lang=\"([a-z]+)\"', 1) AS lang, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM pages"),
-    ("quote_grounding", "I20", "SELECT b.item_id, count(d.doc_id) AS carriers FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 60))) GROUP BY b.item_id"),
+    ("quote_grounding", "I20", "SELECT b.item_id, count(d.doc_id) AS carriers FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id"),
     ("entity_resolve", "D33", f"WITH {TERMS} SELECT term, first_doc, sources, sources >= 2 AS corroborated FROM st WHERE df >= 2"),
     ("centroid", "I53", "WITH x AS (SELECT label, <<explode:embedding>> AS v, vec_id FROM embeddings) SELECT label, count(*) AS n, round(sum(cast(v AS double) * v), 4) AS norm2 FROM x GROUP BY label"),
-    ("cosine", "I52", f"SELECT a.vec_id AS a, b.vec_id AS b, round({DOT.format(a='a.embedding', b='b.embedding')}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0"),
-    ("vector_assign", "C14", f"WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), r AS (SELECT e.vec_id, q.vec_id AS head, {DOT.format(a='e.embedding', b='q.embedding')} AS s FROM embeddings e CROSS JOIN q WHERE e.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 6) DESC, head) AS place FROM r WHERE s >= .2e0) SELECT vec_id, head, round(s, 4) AS score FROM k WHERE place = 1"),
+    ("cosine", "I52", f"SELECT a.vec_id AS a, b.vec_id AS b, round({DOT.format(a='a.embedding', b='b.embedding')}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0"),
+    ("vector_assign", "C14", f"WITH h AS (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label), q AS (SELECT e.* FROM embeddings e JOIN h ON e.vec_id = h.vec_id), r AS (SELECT e.vec_id, q.vec_id AS head, {DOT.format(a='e.embedding', b='q.embedding')} AS s FROM embeddings e CROSS JOIN q WHERE e.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 6) DESC, head) AS place FROM r WHERE s >= .2e0) SELECT vec_id, head, round(s, 4) AS score FROM k WHERE place = 1"),
     ("answer_search", "C15, C16", f"WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), r AS (SELECT q.vec_id AS q, e.vec_id AS answer, {DOT.format(a='e.embedding', b='q.embedding')} AS s FROM q JOIN embeddings e ON e.vec_id <> q.vec_id AND e.label <> q.label), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, answer) AS place FROM r WHERE s >= .2e0) SELECT q, answer, round(s, 4) AS score FROM k WHERE place <= 5"),
     ("neighbourhood", "C17", f"WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), r AS (SELECT q.vec_id AS q, e.vec_id AS other, {DOT.format(a='e.embedding', b='q.embedding')} AS s FROM q CROSS JOIN embeddings e WHERE e.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, other) AS place FROM r) SELECT q, other FROM k WHERE place <= 30 AND s >= .25e0"),
 ]:

@@ -1,7 +1,7 @@
 """Topic measurements, scores, gates and rankings over the event stream."""
 
 from emberline.plans.dialect import sql_query
-from emberline.sources.roles import AS_OF, PANEL, SCORED, TOPIC_EVENTS, UPLOADS_AS_OF, VIDEOS
+from emberline.sources.roles import AS_OF, SCORED, TOPIC_EVENTS, UPLOADS_AS_OF
 
 MEASURED = f"""WITH e AS ({TOPIC_EVENTS}),
 m AS (SELECT topic, count(*) AS n, count(DISTINCT channel) AS channels,
@@ -12,17 +12,51 @@ m AS (SELECT topic, count(*) AS n, count(DISTINCT channel) AS channels,
   count(DISTINCT CASE WHEN large THEN channel END) AS large_channels, median(value) AS median_velocity, max(value) AS top_velocity, sum(value) AS total_velocity,
   min(ts) AS first_seen, max(ts) AS last_seen FROM e GROUP BY topic),
 c AS (SELECT e.topic, sum(least(e.value, greatest(4 * m.median_velocity, 1e0))) AS capped FROM e JOIN m ON e.topic = m.topic GROUP BY e.topic)"""
-SCORE = f"""{MEASURED},
-s AS (SELECT m.topic, m.n, m.n7, m.channels, least(100e0, 100e0 * n7 / greatest(before7 / 3e0, 1e0) / 4e0) AS momentum, least(100e0, channels7 * 20e0) AS breadth,
-  least(100e0, ln(1 + capped) * 12e0) AS velocity, least(100e0, large_channels * 25e0) AS saturation, 100e0 * top_velocity / greatest(total_velocity, 1e0) AS concentration
-  FROM m JOIN c ON m.topic = c.topic),
-scored AS (SELECT topic, n, channels, round(greatest(0e0, least(100e0, .30e0 * momentum + .25e0 * breadth + .25e0 * velocity + .20e0 * (100 - saturation) - .10e0 * concentration)), 1) AS score,
-  CASE WHEN n < 5 THEN 'Seed' WHEN n7 = 0 THEN 'Declining' WHEN saturation >= 75 THEN 'Saturated' WHEN momentum >= 60 THEN 'Breakout' WHEN momentum >= 30 THEN 'Emerging' ELSE 'Mass Market' END AS stage FROM s)"""
-FACETS = "first_seen, last_seen"
+#: What the events lack: one provider, complete snapshots and baselines, no transcripts, no demand, specificity 70.
+#: A click stands for a search appearance; value over the channel's median for an outlier ratio.
+EXTRA = f"""{MEASURED},
+med AS (SELECT channel, median(value) AS typical FROM e GROUP BY channel),
+x AS (SELECT e.topic, median(e.value / greatest(med.typical, 1e-6)) AS median_outlier, max(e.value / greatest(med.typical, 1e-6)) AS top_outlier,
+  count(DISTINCT CASE WHEN e.channel < 10 THEN 'large' WHEN e.channel < 50 THEN 'medium' ELSE 'small' END) AS buckets,
+  count(DISTINCT CASE WHEN e.ts > {AS_OF} - INTERVAL 3 DAY THEN e.channel END) AS channels72,
+  count(*) FILTER (WHERE e.event_type = 'click' AND e.ts > {AS_OF} - INTERVAL 1 DAY) AS found24,
+  count(*) FILTER (WHERE e.event_type = 'click' AND e.ts <= {AS_OF} - INTERVAL 1 DAY AND e.ts > {AS_OF} - INTERVAL 2 DAY) AS found_before
+  FROM e JOIN med ON e.channel = med.channel GROUP BY e.topic),
+pc AS (SELECT topic, max(k) AS top_channel FROM (SELECT topic, channel, count(*) AS k FROM e GROUP BY topic, channel) q GROUP BY topic),
+f AS (SELECT m.*, c.capped, x.median_outlier, x.top_outlier, x.buckets, x.channels72, x.found24, x.found_before, pc.top_channel * 1e0 / n AS channel_share,
+  top_velocity / greatest(total_velocity, 1e-6) AS velocity_share, (n24 - prev24) * 1e0 / greatest(prev24, 1) AS acceleration,
+  (<<secs:{AS_OF}>> - <<secs:first_seen>>) / 86400e0 AS age FROM m JOIN c ON m.topic = c.topic JOIN x ON m.topic = x.topic JOIN pc ON m.topic = pc.topic)"""
+
+
+def bounded(expression: str) -> str:
+    return f"round(least(100e0, greatest(0e0, {expression})), 2)"
+
+
+def log(base: str, value: str) -> str:
+    return f"ln({value}) / ln({base})"
+
+
+# The weights of the nine components and the steps of each.
+COMPONENTS = {
+    "momentum": bounded(f"n24 * 13 + n72 * 4 + {log('10e0', 'capped + 1')} * 11 + greatest(-10e0, least(20e0, acceleration * 18))"),
+    "diversity": bounded("channels * 1e0 / greatest(n, 1) * 45 + least(channels * 6, 35) + least(buckets * 7, 20)"),
+    "outliers": bounded(f"20 + {log('2e0', 'greatest(median_outlier, 1e0)')} * 32 + {log('2e0', 'greatest(top_outlier, 1e0)')} * 12"),
+    "novelty": bounded(f"100 * exp(-greatest(0e0, age) / 21) * .45e0 + least(100e0, n72 * 100e0 / greatest(n, 1)) * .25e0 + least(100e0, channels72 * 100e0 / greatest(channels, 1)) * .15e0 + {bounded('50 + acceleration * 25')} * .15e0"),
+    "spread": bounded("channels72 * 9 + buckets * 12"),
+    "search": f"CASE WHEN found_before > 0 THEN {bounded('50 + (found24 * 1e0 / found_before - 1) * 35')} ELSE {bounded('25 + found24 * 8')} END",
+    "saturation": bounded("n72 * 4 + large_channels * 9 + large_channels * 1e0 / greatest(channels, 1) * 30"),
+    "fragility": bounded("velocity_share * 48 + channel_share * 34 + CASE n WHEN 1 THEN 30 WHEN 2 THEN 15 ELSE 0 END + 10 + 6"),
+}
+WEIGHTS = {"momentum": ".22e0", "diversity": ".16e0", "outliers": ".16e0", "novelty": ".12e0", "spread": ".10e0", "search": ".09e0", "saturation": "-.14e0", "fragility": "-.10e0"}
+SCORE = f"""{EXTRA}, s AS (SELECT topic, n, n24, n72, channels, large_channels, {', '.join(f'{v} AS {k}' for k, v in COMPONENTS.items())} FROM f),
+scored AS (SELECT *, round(least(100e0, greatest(0e0, {' + '.join(f'({w}) * {k}' for k, w in WEIGHTS.items())})), 1) AS score,
+  CASE WHEN saturation >= 78 THEN 'Saturated' WHEN n24 = 0 AND n72 = 0 THEN 'Declining' WHEN large_channels >= 3 AND channels >= 7 THEN 'Mass Market'
+    WHEN momentum >= 72 AND channels >= 5 THEN 'Breakout' WHEN channels >= 3 AND (n24 >= 2 OR momentum >= 46) THEN 'Emerging' ELSE 'Seed' END AS stage,
+  CASE WHEN n >= 6 AND channels >= 5 THEN 'High' WHEN n >= 3 AND channels >= 3 THEN 'Medium' ELSE 'Low' END AS confidence FROM s)"""
 
 for name, row, text in [
     ("topic_measurements", "D2, D3, D9", f"{MEASURED} SELECT m.topic, n, channels, n24, n72, prev24, n7, before7, large_channels, round(median_velocity, 6) AS median_velocity, round(capped, 4) AS capped_velocity FROM m JOIN c ON m.topic = c.topic"),
-    ("topic_score", "I38, I40, F1", f"{SCORE} SELECT topic, n, channels, score, stage FROM scored"),
+    ("topic_score", "I38, I40, F1", f"{SCORE} SELECT topic, n, channels, score, stage, confidence FROM scored"),
     ("topk_predictions", "F1", f"{SCORE} SELECT topic, score FROM scored ORDER BY score DESC, topic LIMIT 20"),
     ("top_quintile", "F4", f"{SCORE}, r AS (SELECT topic, score, row_number() OVER (ORDER BY score DESC, topic) AS place, count(*) OVER () AS total FROM scored) SELECT topic, score, cast(place AS bigint) AS place FROM r WHERE place <= greatest(1, floor(total / 5e0))"),
     ("top_fraction_ceil", "F13", f"{SCORE}, r AS (SELECT topic, score, row_number() OVER (ORDER BY score DESC, topic) AS place, count(*) OVER () AS total FROM scored) SELECT topic, score FROM r WHERE place <= greatest(1, ceil(total * .15e0))"),
@@ -67,9 +101,9 @@ for name, row, text in [
     ("calibration_metrics", "D44", f"WITH s AS ({SCORED}), b AS (SELECT least(floor(p * 10), 9e0) AS bin, count(*) AS n, avg(p) AS mean_p, avg(y * 1e0) AS rate, sum((p - y) * (p - y)) AS sq FROM s GROUP BY 1) SELECT round(sum(n * abs(mean_p - rate)) / sum(n), 6) AS ece, round(sum(sq) / sum(n), 6) AS brier FROM b"),
     ("average_precision", "D44", f"WITH s AS ({SCORED}), r AS (SELECT y, row_number() OVER (ORDER BY p DESC, doc_id) AS k, sum(y) OVER (ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING) AS hits FROM s) SELECT round(sum(CASE WHEN y = 1 THEN hits * 1e0 / k ELSE 0e0 END) / greatest(sum(y), 1), 6) AS average_precision FROM r"),
     ("label_report", "D26", f"WITH s AS ({SCORED}) SELECT count(*) FILTER (WHERE p >= .25e0 AND y = 1) AS tp, count(*) FILTER (WHERE p >= .25e0 AND y = 0) AS fp, count(*) FILTER (WHERE p < .25e0 AND y = 1) AS fn, round(count(*) FILTER (WHERE p >= .25e0 AND y = 1) * 1e0 / greatest(count(*) FILTER (WHERE p >= .25e0), 1), 6) AS precision_ FROM s"),
-    ("early_signal_score", "I39", f"{SCORE} SELECT topic, round(greatest(0e0, least(100e0, .22e0 * score + .16e0 * least(n, 100) + .16e0 * least(channels, 100))), 1) AS signal FROM scored"),
+    ("early_signal_score", "I39", f"{SCORE} SELECT topic, momentum, diversity, outliers, novelty, spread, search, saturation, fragility, score FROM scored"),
     ("user_bucket", "I44", f"{SCORE} SELECT topic, CASE WHEN score >= 60 THEN 'act' WHEN score >= 40 THEN 'watch' ELSE 'skip' END AS bucket FROM scored"),
     ("digest_top3", "F12, H10", f"{SCORE}, r AS (SELECT topic, stage, .65e0 * score + .35e0 * least(channels * 5, 100) AS v, row_number() OVER (PARTITION BY stage ORDER BY .65e0 * score + .35e0 * least(channels * 5, 100) DESC, topic) AS k FROM scored) SELECT stage, topic, round(v, 4) AS value FROM r WHERE k <= 3"),
-    ("opportunity_window", "I29", f"{SCORE} SELECT topic, CASE stage WHEN 'Seed' THEN 21 WHEN 'Emerging' THEN 14 WHEN 'Breakout' THEN 7 WHEN 'Declining' THEN 0 ELSE 3 END AS days FROM scored"),
+    ("opportunity_window", "I29", f"{SCORE} SELECT topic, CASE stage WHEN 'Seed' THEN 2 WHEN 'Emerging' THEN 1 ELSE 0 END AS from_day, CASE stage WHEN 'Seed' THEN 10 WHEN 'Emerging' THEN 7 WHEN 'Breakout' THEN 4 WHEN 'Mass Market' THEN 2 ELSE 1 END AS to_day FROM scored"),
 ]:
     sql_query(name, text, row)
