@@ -134,6 +134,30 @@ def test_passages_inside_other_text_are_found(spark, empty):
     assert repeated_passages(empty).count() == 0
 
 
+def test_paragraph_components_in_one_bucket_equal_brute_force(spark):
+    """Pairs left out for their distances to the first paragraph of a bucket take no link away."""
+    from emberline.llm.graph import connected_components
+    from emberline.llm.passages import jaccard, paragraph_links
+
+    rng, rows = np.random.default_rng(5), []
+    for base in np.array_split(rng.permutation(2_000)[:400].astype("<u4"), 4):
+        for _ in range(10):
+            changed = base.copy()
+            places = rng.choice(100, rng.integers(0, 25), replace=False)
+            changed[places] = rng.integers(10_000, 1 << 31, len(places))
+            rows.append((len(rows), [1], changed.tobytes()))
+    rows += [(40, [1], np.arange(3, dtype="<u4").tobytes()), (41, [2], rows[0][2])]
+    least = list(range(40))
+    for _ in least:
+        for a, b in combinations(range(40), 2):
+            if jaccard(rows[a][2], rows[b][2]) >= 0.8:
+                least[a] = least[b] = min(least[a], least[b])
+    frame = spark.createDataFrame(rows, "key long, bands array<long>, shingles binary")
+    found = {r.node: r.component for r in connected_components(paragraph_links(frame, 0.8)).collect()}
+    assert {k: found.get(k, k) for k in range(42)} == dict(enumerate(least)) | {40: 40, 41: 41}
+    assert len(set(least)) > 5
+
+
 def test_warc_round_trip(spark):
     from emberline.llm.warc import archive_round_trip, coalesced
 
