@@ -3,8 +3,9 @@
 Paragraphs are lines.  Near-duplicate paragraphs meet by MinHash bands over word shingles and are
 verified by exact Jaccard similarity.  A passage may also sit in the middle of otherwise different
 paragraphs, where whole paragraphs are not alike; so lines are cut further at words chosen by
-content (least hash within a few words on either side), and pieces that are equal in two documents
-are found by one grouped count.  Copies are folded before any join, and the paragraphs of a band
+content (least hash within a few words on either side), once line by line and once through the whole
+document, as a passage may be set in short lines or wrapped anew, and pieces that are equal in two
+documents are found by one grouped count.  Copies are folded before any join, and the paragraphs of a band
 bucket are compared with a few central ones of it, the rest with the next few, so the pairs of a
 bucket grow with its size and not with the square of it.
 """
@@ -66,22 +67,42 @@ def units(df: DataFrame, radius: int, shingle: int, min_paragraph: int, bands: i
         doc_starts = line_starts[np.searchsorted(owner, np.arange(len(docs)))]
         line = np.repeat(np.arange(len(sizes)), sizes)
         pair = _mix(ids + _mix(np.concatenate((ids[1:], ids[:1]))))
-        last = np.concatenate((line[1:] != line[:-1], [True]))
-        least = ~last
-        for d in range(1, min(radius, len(ids) - 1) + 1):
-            same = line[d:] == line[:-d]
-            usable = same & ~last[d:]
-            least[d:] &= ~same | (pair[d:] < pair[:-d])
-            least[:-d] &= ~usable | (pair[:-d] < pair[d:])
-        least[line_starts] = True
-        starts = np.flatnonzero(least)
-        lengths = np.diff(np.append(starts, len(ids)))
-        keep = lengths >= shingle
+
+        def pieces(part: np.ndarray, part_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            last = np.concatenate((part[1:] != part[:-1], [True]))
+            least = ~last
+            for d in range(1, min(radius, len(ids) - 1) + 1):
+                same = part[d:] == part[:-d]
+                usable = same & ~last[d:]
+                least[d:] &= ~same | (pair[d:] < pair[:-d])
+                least[:-d] &= ~usable | (pair[:-d] < pair[d:])
+            least[part_starts] = True
+            starts = np.flatnonzero(least)
+            return starts, np.append(starts[1:], len(ids))
+
+        # Lines are cut alone, so that a repeated line is whole, and whole documents too, so that pieces run over line ends.
+        starts, stops = pieces(line, line_starts)
+        spans = [(starts, stops), pieces(owner[line], doc_starts)]
+        # Lines that are cut too finely count whole; those of under shingle words with what precedes or follows them.
+        low, tiny = (sizes >= shingle) & (sizes < 2 * (radius + 1)), np.flatnonzero(sizes < shingle)
+        spans.append((line_starts[low], (line_starts + sizes)[low]))
+        here, doc_stops = line_starts[tiny], np.append(doc_starts[1:], len(ids))
+        after = np.searchsorted(stops, here + shingle)
+        fits = stops[np.minimum(after, len(stops) - 1)] <= doc_stops[owner[tiny]]
+        fits &= after < len(stops)
+        spans.append((here[fits], stops[after[fits]]))
+        before = np.searchsorted(starts, here + sizes[tiny] - shingle, side="right") - 1
+        fits = (before >= 0) & (starts[before] >= doc_starts[owner[tiny]])
+        spans.append((starts[before[fits]], (here + sizes[tiny])[fits]))
+        starts, stops = (np.concatenate(c) for c in zip(*spans, strict=True))
+        starts, stops = np.divmod(np.unique((starts * (len(ids) + 1) + stops)[stops - starts >= shingle]), len(ids) + 1)
+        lengths = stops - starts
         doc_ids = np.array([d for d, _ in docs], np.int64)
         piece_doc = owner[line[starts]]
-        piece_keys = _keys(ids, starts, lengths)
+        offsets = np.cumsum(lengths) - lengths
+        piece_keys = _keys(ids[np.arange(lengths.sum()) + np.repeat(starts - offsets, lengths)], offsets, lengths) if len(starts) else np.array([], np.uint64)
         columns = [
-            [np.zeros(keep.sum(), bool), doc_ids[piece_doc[keep]], (starts - doc_starts[piece_doc])[keep], lengths[keep], piece_keys[keep].view(np.int64)],
+            [np.zeros(len(starts), bool), doc_ids[piece_doc], starts - doc_starts[piece_doc], lengths, piece_keys.view(np.int64)],
         ]
         long = np.flatnonzero(sizes >= min_paragraph)
         band_values, shingle_values = [], []
@@ -102,7 +123,7 @@ def units(df: DataFrame, radius: int, shingle: int, min_paragraph: int, bands: i
             band_values = values.view(np.int64)
             short = (hashes >> np.uint64(32)).astype("<u4")
             shingle_values = [short[a : a + c].tobytes() for a, c in zip(at, counts, strict=True)]
-        n, m = int(keep.sum()), len(long)
+        n, m = len(starts), len(long)
         flat = [np.concatenate(c) for c in zip(*columns, strict=True)]
         offsets = np.concatenate((np.zeros(n + 1, np.int32), np.arange(1, m + 1, dtype=np.int32) * bands))
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.ravel(band_values).astype(np.int64) if m else np.array([], np.int64)))
@@ -230,13 +251,20 @@ def repeated_passages(
 
 
 def merge_spans(spans: DataFrame, min_words: int, bridge: int = 4) -> DataFrame:
-    """Join spans of a document that touch, overlap or leave at most bridge words, if all stay or all go."""
+    """Join spans of a document that touch, overlap or leave at most bridge words, if all stay or all go.
+
+    Pieces overlap, and copies may be cut in different ways at a passage's ends; so a span that stays
+    counts only where it reaches beyond those that go, as an earlier document holds the rest.
+    """
     own = spans.select("doc_id", "start", (F.col("start") + F.col("n")).alias("stop"), "first", (F.col("doc_id") != F.col("first")).alias("removed"))
     order = Window.partitionBy("doc_id", "removed").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = own.withColumn("island", F.sum(F.when(F.col("start") <= F.coalesce(reach + bridge, F.lit(-1)), 0).otherwise(1)).over(order))
     merged = islands.groupBy("doc_id", "removed", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first").alias("component_id"))
-    return merged.filter(F.col("stop") - F.col("start") >= min_words).select("doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), "component_id", "removed")
+    long = merged.filter(F.col("stop") - F.col("start") >= min_words)
+    gone = F.max(F.when(F.col("removed"), F.col("stop"))).over(Window.partitionBy("doc_id").orderBy("start"))
+    whole = long.withColumn("gone", gone).filter(F.col("removed") | F.col("gone").isNull() | (F.col("gone") < F.col("stop")))
+    return whole.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), "component_id", "removed")
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:

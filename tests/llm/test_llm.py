@@ -134,6 +134,30 @@ def test_passages_inside_other_text_are_found(spark, empty):
     assert repeated_passages(empty).count() == 0
 
 
+def test_passages_in_short_lines_are_found(spark):
+    """Passages of 60 words in lines of so many words, alike in two documents and wrapped anew in a third."""
+    from emberline.llm.passages import repeated_passages
+
+    r = random.Random(12)
+    words = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+    wrapped = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    rows, widths = [], [2, 3, 4, 5, 6, 7, 8, 11] * 12
+    for i, width in enumerate(widths):
+        passage = words(60)
+        rows += [(3 * i + k, "\n".join((wrapped(words(24), width), wrapped(passage, n), wrapped(words(24), width)))) for k, n in enumerate((width, width, width + 9))]
+    found = {}
+    for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if x.doc_id % 3 < 2:
+            assert x.removed == (x.doc_id % 3 > 0) and x.component_id == x.doc_id // 3 * 3
+        found.setdefault(x.doc_id, set()).update(range(x.start, x.start + x.n_words))
+    assert all(v <= set(range(24, 84)) for v in found.values())
+    for width in sorted(set(widths)):
+        own = [i for i, w in enumerate(widths) if w == width]
+        alike, anew = ([len(found.get(3 * i + k, ())) for i in own] for k in (1, 2))
+        assert min(alike) >= 50, (width, alike)
+        assert min(anew) >= 12 and sum(anew) >= 0.5 * 60 * len(anew), (width, anew)
+
+
 def test_paragraph_components_in_one_bucket_equal_brute_force(spark):
     """Pairs left out for their distances to the first paragraph of a bucket take no link away."""
     from emberline.llm.graph import connected_components
