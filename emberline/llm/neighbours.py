@@ -2,8 +2,9 @@
 
 Equal vectors are folded into one node.  The graph starts from brute force within small blocks of
 random-hyperplane buckets; each round then joins every node with its neighbours (both ways), compares
-these with each other, and keeps each node's best.  A query walks the graph: in each round its best
-candidates not yet visited bring their neighbours.  Vectors travel as unit vectors of signed bytes;
+these with each other where one of the two is new, and keeps each node's best, until few edges change.
+A query walks the graph: in each round its best candidates not yet visited bring their neighbours,
+until none of its best is left unvisited.  Vectors travel as unit vectors of signed bytes;
 the last candidates are scored again in double precision on the original vectors.
 """
 
@@ -75,9 +76,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
     """Each node's k best distinct neighbours, ties to the smaller one."""
-    best = edges.groupBy("v", "u").agg(F.max("score").alias("score"))
+    best = edges.groupBy("v", "u").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
     place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("score"), "u"))
-    return best.withColumn("_place", place).filter(F.col("_place") <= k).select("v", "u", "score")
+    return best.withColumn("_place", place).filter(F.col("_place") <= k).select("v", "u", "score", "fresh")
 
 
 def start_graph(points: DataFrame, count: int, k: int, tables: int, block: int, seed: int) -> DataFrame:
@@ -113,51 +114,53 @@ def start_graph(points: DataFrame, count: int, k: int, tables: int, block: int,
 
     dealt = points.select("node", "code").mapInArrow(spread, "t long, bucket long, along float, node long, code binary")
     dealt = dealt.repartition("t", "bucket").sortWithinPartitions("t", "bucket", "along", "node")
-    return _best(dealt.mapInArrow(brute, EDGES), k)
+    return _best(dealt.mapInArrow(brute, EDGES).withColumn("fresh", F.lit(True)), k)
 
 
 def both_ways(graph: DataFrame, k: int) -> DataFrame:
     """Neighbours of each node and its k best reverse neighbours."""
-    back = graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "score")
-    return graph.unionByName(_best(back, k)).groupBy("v", "u").agg(F.max("score").alias("score"))
+    back = graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "score", "fresh")
+    return graph.unionByName(_best(back, k)).groupBy("v", "u").agg(F.max("score").alias("score"), F.max("fresh").alias("fresh"))
 
 
-def improve(graph: DataFrame, points: DataFrame, k: int, keep: int) -> DataFrame:
-    """One NN-descent round: neighbours of a node are compared with each other."""
+def improve(graph: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """One NN-descent round: neighbours of a node are compared with each other; edges found now are fresh."""
 
     def local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, 1):
-            v, ids, least = (t.column(c).to_numpy() for c in (0, 1, 3))
+            v, ids, least, fresh = (t.column(c).to_numpy() for c in (0, 1, 3, 4))
             unit = _unit(t.column(2).combine_chunks())
             cuts = np.flatnonzero(np.diff(v)) + 1
             out = []
             for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                sims = unit[a:b] @ unit[a:b].T
-                np.fill_diagonal(sims, -2)
-                n = min(keep, b - a - 1)
-                if n < 1:
+                if not fresh[a:b].any():
                     continue
-                top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-                score = np.take_along_axis(sims, top, 1)
-                row, col = np.nonzero(score > least[a:b, None])
-                out.append((ids[a:b][row], ids[a:b][top[row, col]], score[row, col]))
+                sims = unit[a:b] @ unit[a:b].T
+                np.fill_diagonal(sims, -3)
+                row, col = np.nonzero((sims > least[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b]))
+                out.append((ids[a:b][row], ids[a:b][col], sims[row, col]))
             if out:
                 x, y, s = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(s.astype(np.float32))], names=["v", "u", "score"])
 
     worst = graph.groupBy(F.col("v").alias("w")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-2.0).cast("float")).alias("least"))
     sides = points.select(F.col("node").alias("u"), "code").join(worst, F.col("u") == F.col("w")).drop("w")
-    around = both_ways(graph, k).select("v", "u").join(sides, "u").select("v", "u", "code", "least")
+    around = both_ways(graph, k).select("v", "u", "fresh").join(sides, "u").select("v", "u", "code", "least", "fresh")
     found = around.repartition("v").sortWithinPartitions("v").mapInArrow(local_join, EDGES)
-    return _best(graph.unionByName(found), k)
+    return _best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k)
 
 
-def build_graph(points: DataFrame, k: int = 24, tables: int = 6, block: int = 400, rounds: int = 3, keep: int = 8, seed: int = 11) -> DataFrame:
-    """(v, u, score): an approximate graph of each node's k nearest nodes; every round is a written table."""
+def build_graph(points: DataFrame, k: int = 24, tables: int = 6, block: int = 400, settled: float = 0.001, seed: int = 11) -> DataFrame:
+    """(v, u, score, fresh): an approximate graph of each node's k nearest nodes; every round is a written table.
+
+    Rounds end when at most this share of the edges is new.
+    """
     graph = written(start_graph(points, points.count(), k, tables, block, seed), "graph")
-    for _ in range(rounds):
-        graph = written(improve(graph, points, k, keep), "graph")
-    return graph
+    while True:
+        graph = written(improve(graph, points, k), "graph")
+        edges, changed = graph.agg(F.count("*"), F.count_if("fresh")).first()
+        if changed <= settled * edges:
+            return graph
 
 
 def _scores(pairs: DataFrame, schema: str, exact: bool) -> DataFrame:
@@ -175,23 +178,24 @@ def _scores(pairs: DataFrame, schema: str, exact: bool) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
-def greedy_search(asked: DataFrame, points: DataFrame, graph: DataFrame, rounds: int = 4, beam: int = 96, step: int = 32, k: int = 24) -> DataFrame:
-    """(q, c, score): each asked node's best candidates after a walk of so many rounds over the graph."""
+def greedy_search(asked: DataFrame, points: DataFrame, graph: DataFrame, beam: int = 96, step: int = 32, k: int = 24) -> DataFrame:
+    """(q, c, score): each asked node's best candidates after a walk over the graph that has visited them all."""
     around = written(both_ways(graph, k), "adjacency")
     own = asked.join(points, asked.q == points.node).select("q", F.col("code").alias("own"))
     near = around.select(F.col("v").alias("q"), F.col("u").alias("c"), "score").join(asked, "q", "left_semi")
     state = near.withColumn("open", F.lit(True))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    for _ in range(rounds):
+    while True:
         state = state.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= beam)
         turn = F.sum(F.col("open").cast("int")).over(order)
         state = written(state.withColumn("go", F.col("open") & (turn <= step)).drop("_place"), "beam")
+        if state.filter("go").isEmpty():
+            return state.select("q", "c", "score")
         reached = state.filter("go").join(around.select("v", "u"), F.col("c") == F.col("v")).select("q", F.col("u").alias("c")).distinct()
         fresh = reached.filter("q <> c").join(state.select("q", "c"), ["q", "c"], "left_anti")
         pairs = fresh.join(points.select(F.col("node").alias("c"), F.col("code").alias("other")), "c").join(own, "q").select("q", "c", "own", "other")
         scored = _scores(pairs, "q long, c long, score float", False).withColumn("open", F.lit(True))
         state = state.select("q", "c", "score", (F.col("open") & ~F.col("go")).alias("open")).unionByName(scored)
-    return state.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= beam).select("q", "c", "score")
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, spare: int = 32, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:

@@ -220,6 +220,23 @@ def test_nearest_equals_brute_force_with_copies_and_bad_vectors(spark):
     assert set(got) == set(range(0, 300, 50))
 
 
+def test_graph_rounds_go_on_until_few_edges_change(spark):
+    """From a poor start, which three rounds do not mend."""
+    from emberline.llm.neighbours import build_graph, nodes
+
+    r = np.random.default_rng(10)
+    vectors = r.standard_normal((3000, 8))
+    points = nodes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vec array<double>")).cache()
+    found = {}
+    for x in build_graph(points, k=10, tables=2, block=12).select("v", "u").collect():
+        found.setdefault(x.v, set()).add(x.u)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    top = np.argsort(-sims, axis=1)[:, :10]
+    assert np.mean([len(found.get(i, set()) & set(t.tolist())) for i, t in enumerate(top)]) >= 9
+
+
 def test_language_and_toxicity_learn_and_take_hard_rows(spark, docs, empty):
     from emberline.llm.language import identify
     from emberline.llm.toxicity import score_toxicity
