@@ -4,8 +4,8 @@ Equal vectors are folded into one node.  The graph starts from brute force withi
 random-hyperplane buckets; each round then joins every node with its neighbours (both ways), compares
 these with each other where one of the two is new, and keeps each node's best, until few edges change.
 A query walks the graph: in each round its best candidates not yet visited bring their neighbours,
-until none of its best is left unvisited.  Vectors travel as unit vectors of signed bytes;
-the last candidates are scored again in double precision on the original vectors.
+until none of its best is left unvisited.  All scores are in double precision on the original
+vectors, as near copies differ by less than coarser numbers can tell.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-EDGES = "v long, u long, score float"
+EDGES = "v long, u long, score double"
 
 
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
@@ -29,8 +29,9 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    rows = _matrix(column, np.int8).astype(np.float32)
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    rows = _matrix(column, np.float64)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -41,7 +42,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def nodes(rows: DataFrame) -> DataFrame:
-    """(node, vec, code): one node per distinct vector, named by its least id; shorter vectors are padded with zeros."""
+    """(node, vec): one node per distinct vector, named by its least id; shorter vectors are padded with zeros."""
     width = rows.agg(F.max(F.size("vec"))).first()[0] or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,10 +50,9 @@ def nodes(rows: DataFrame) -> DataFrame:
             full = np.zeros((len(batch), width))
             for row, value in zip(full, batch.column(1).to_pylist(), strict=True):
                 row[: len(value)] = value
-            codes = np.rint(full / np.abs(full).max(axis=1, keepdims=True) * 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in full], pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary())], names=["node", "vec", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in full], pa.binary())], names=["node", "vec"])
 
-    return rows.groupBy("vec").agg(F.min("id").alias("node")).select("node", "vec").mapInArrow(run, "node long, vec binary, code binary")
+    return rows.groupBy("vec").agg(F.min("id").alias("node")).select("node", "vec").mapInArrow(run, "node long, vec binary")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -90,11 +90,11 @@ def start_graph(points: DataFrame, count: int, k: int, tables: int, block: int,
             if not len(batch):
                 continue
             unit = _unit(batch.column(1))
-            planes = np.random.default_rng(seed).standard_normal((tables, bits + 1, unit.shape[1])).astype(np.float32)
+            planes = np.random.default_rng(seed).standard_normal((tables, bits + 1, unit.shape[1]))
             for t in range(tables):
                 side = unit @ planes[t].T
                 bucket = (side[:, :bits] > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(unit), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), t)), pa.array(bucket.astype(np.int64)), pa.array(side[:, bits].astype(np.float32)), batch.column(0), batch.column(1)], names=["t", "bucket", "along", "node", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), t)), pa.array(bucket.astype(np.int64)), pa.array(side[:, bits]), batch.column(0), batch.column(1)], names=["t", "bucket", "along", "node", "vec"])
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +112,7 @@ def start_graph(points: DataFrame, count: int, k: int, tables: int, block: int,
                     top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at], n)), pa.array(ids[at][top].ravel()), pa.array(np.take_along_axis(sims, top, 1).ravel())], names=["v", "u", "score"])
 
-    dealt = points.select("node", "code").mapInArrow(spread, "t long, bucket long, along float, node long, code binary")
+    dealt = points.select("node", "vec").mapInArrow(spread, "t long, bucket long, along double, node long, vec binary")
     dealt = dealt.repartition("t", "bucket").sortWithinPartitions("t", "bucket", "along", "node")
     return _best(dealt.mapInArrow(brute, EDGES).withColumn("fresh", F.lit(True)), k)
 
@@ -141,11 +141,11 @@ def improve(graph: DataFrame, points: DataFrame, k: int) -> DataFrame:
                 out.append((ids[a:b][row], ids[a:b][col], sims[row, col]))
             if out:
                 x, y, s = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(s.astype(np.float32))], names=["v", "u", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(s)], names=["v", "u", "score"])
 
-    worst = graph.groupBy(F.col("v").alias("w")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-2.0).cast("float")).alias("least"))
-    sides = points.select(F.col("node").alias("u"), "code").join(worst, F.col("u") == F.col("w")).drop("w")
-    around = both_ways(graph, k).select("v", "u", "fresh").join(sides, "u").select("v", "u", "code", "least", "fresh")
+    worst = graph.groupBy(F.col("v").alias("w")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("least"))
+    sides = points.select(F.col("node").alias("u"), "vec").join(worst, F.col("u") == F.col("w")).drop("w")
+    around = both_ways(graph, k).select("v", "u", "fresh").join(sides, "u").select("v", "u", "vec", "least", "fresh")
     found = around.repartition("v").sortWithinPartitions("v").mapInArrow(local_join, EDGES)
     return _best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k)
 
@@ -163,25 +163,24 @@ def build_graph(points: DataFrame, k: int = 24, tables: int = 6, block: int = 40
             return graph
 
 
-def _scores(pairs: DataFrame, schema: str, exact: bool) -> DataFrame:
-    """Cosine of (q, c, own, other) rows; exact: of double vectors, else of byte codes."""
+def _scores(pairs: DataFrame) -> DataFrame:
+    """Cosine of (q, c, own, other) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            kind = np.float64 if exact else np.int8
-            a, b = (_matrix(batch.column(c), kind).astype(np.float64 if exact else np.float32) for c in (2, 3))
+            a, b = (_matrix(batch.column(c), np.float64) for c in (2, 3))
             score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score.astype(np.float64 if exact else np.float32))], names=["q", "c", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["q", "c", "score"])
 
-    return pairs.mapInArrow(run, schema)
+    return pairs.mapInArrow(run, "q long, c long, score double")
 
 
 def greedy_search(asked: DataFrame, points: DataFrame, graph: DataFrame, beam: int = 96, step: int = 32, k: int = 24) -> DataFrame:
     """(q, c, score): each asked node's best candidates after a walk over the graph that has visited them all."""
     around = written(both_ways(graph, k), "adjacency")
-    own = asked.join(points, asked.q == points.node).select("q", F.col("code").alias("own"))
+    own = asked.join(points, asked.q == points.node).select("q", F.col("vec").alias("own"))
     near = around.select(F.col("v").alias("q"), F.col("u").alias("c"), "score").join(asked, "q", "left_semi")
     state = near.withColumn("open", F.lit(True))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
@@ -193,12 +192,12 @@ def greedy_search(asked: DataFrame, points: DataFrame, graph: DataFrame, beam: i
             return state.select("q", "c", "score")
         reached = state.filter("go").join(around.select("v", "u"), F.col("c") == F.col("v")).select("q", F.col("u").alias("c")).distinct()
         fresh = reached.filter("q <> c").join(state.select("q", "c"), ["q", "c"], "left_anti")
-        pairs = fresh.join(points.select(F.col("node").alias("c"), F.col("code").alias("other")), "c").join(own, "q").select("q", "c", "own", "other")
-        scored = _scores(pairs, "q long, c long, score float", False).withColumn("open", F.lit(True))
+        pairs = fresh.join(points.select(F.col("node").alias("c"), F.col("vec").alias("other")), "c").join(own, "q").select("q", "c", "own", "other")
+        scored = _scores(pairs).withColumn("open", F.lit(True))
         state = state.select("q", "c", "score", (F.col("open") & ~F.col("go")).alias("open")).unionByName(scored)
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, spare: int = 32, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
     """The k nearest other rows of every row whose key is divisible by `every`, by cosine.
 
     Gives (query_id, rank, vec_id, score).  Vectors that are null, zero, or hold null or non-finite
@@ -214,10 +213,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, spare: int = 32, ke
     queries = owner.filter(F.col("id") % every == 0)
     asked = queries.select(F.col("node").alias("q")).distinct()
     found = greedy_search(asked, points, graph)
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
-    best = found.withColumn("_place", place).filter(F.col("_place") <= spare).select("q", "c").union(asked.select("q", F.col("q").alias("c")))
+    best = found.select("q", "c").union(asked.select("q", F.col("q").alias("c")))
     pairs = best.join(points.select(F.col("node").alias("c"), F.col("vec").alias("other")), "c").join(points.select(F.col("node").alias("q"), F.col("vec").alias("own")), "q")
-    exact = _scores(pairs.select("q", "c", "own", "other"), "q long, c long, score double", True)
+    exact = _scores(pairs.select("q", "c", "own", "other"))
     member = F.row_number().over(Window.partitionBy("node").orderBy("id"))
     members = owner.withColumn("_n", member).filter(F.col("_n") <= k + 1).select(F.col("node").alias("c"), "id")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")

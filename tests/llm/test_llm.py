@@ -237,6 +237,21 @@ def test_graph_rounds_go_on_until_few_edges_change(spark):
     assert np.mean([len(found.get(i, set()) & set(t.tolist())) for i, t in enumerate(top)]) >= 9
 
 
+def test_nearest_tells_near_copies_apart(spark):
+    """In a large group the vectors differ by less than signed bytes can tell."""
+    from emberline.llm.neighbours import nearest
+
+    r = np.random.default_rng(11)
+    base = r.standard_normal(16)
+    vectors = base + 0.003 * r.standard_normal((1500, 16))
+    got = {}
+    for x in nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hits = [len(got[q] & set(np.argsort(-np.where(np.arange(1500) == q, -2, unit @ unit[q]))[:5].tolist())) for q in range(0, 1500, 50)]
+    assert sum(hits) >= 0.95 * 5 * len(hits)
+
+
 def test_language_and_toxicity_learn_and_take_hard_rows(spark, docs, empty):
     from emberline.llm.language import identify
     from emberline.llm.toxicity import score_toxicity
