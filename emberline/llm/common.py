@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,16 @@ from pyspark.sql import functions as F
 FOLDS, HELD_OUT = 4, 2
 
 
-#: Rows in one Arrow batch; whole texts can be long, and two tasks share an executor's memory.
-ROWS_A_BATCH = 1_000
+#: Rows and bytes in one Arrow batch; whole texts can be long, and two tasks share an executor's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small in this session."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_A_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    """Keep Arrow batches of whole texts small in this session (queries and the pipeline do so; operators leave settings alone)."""
+    for name, most in BATCH.items():
+        now = int(spark.conf.get(name).removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and the master is local."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -43,12 +48,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read it again: several consumers, no recomputation."""
     path = scratch(df.sparkSession, name)
@@ -77,6 +76,45 @@ def lean(run):
     return wrapped
 
 
+class Remembered:
+    """Values of keys, computed for many keys at a time and kept in two generations of at most `limit` keys each.
+
+    What is asked for again moves to the recent generation; when that is full it becomes the older
+    one, so frequent keys stay.  compute takes a list of distinct keys and gives a dictionary.
+    """
+
+    def __init__(self, compute, limit: int, longest: int = 64):
+        self.compute, self.limit, self.longest = compute, limit, longest
+        self.recent, self.older = {}, {}
+
+    def values(self, keys: list[str]) -> list:
+        """The values of distinct keys."""
+        values = list(map(self.recent.get, keys))
+        missing = [i for i, x in enumerate(values) if x is None]
+        if missing:
+            found = {k: x for i in missing if (x := self.older.get(k := keys[i])) is not None}
+            found |= self.compute([k for i in missing if (k := keys[i]) not in found])
+            for i in missing:
+                values[i] = found[keys[i]]
+            if len(self.recent) + len(found) > self.limit:
+                self.older, self.recent = self.recent, {}
+            self.recent.update((k, x) for k, x in found.items() if len(k) <= self.longest)
+        return values
+
+
+def slices(batch, column: int, most_bytes: int = 4 << 20):
+    """The batch in slices whose texts in this column have at most so many bytes together (a longer text is alone)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod FOLDS; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
@@ -87,9 +125,10 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def bounded(df: DataFrame, max_rows: int = 4_000_000) -> DataFrame:
-    """The side of a join with a broadcast hint if it is counted to hold at most max_rows rows; else as it is."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
+def bounded(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """The side of a join with a broadcast hint if its rows, measured as text, hold at most max_bytes; else as it is."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 
 def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -36,35 +36,6 @@ def test_bpe_equals_tiktoken():
         assert own.decode(own.encode(text)) == text.encode()
 
 
-def test_chunked_word_ids_equal_whole_text_ids():
-    from emberline.llm.packing import word_encoder
-
-    own = word_encoder(public_tokenizers.path("word_bpe_49k.json"))
-    r = random.Random(4)
-    for _ in range(3000):
-        text = "".join(r.choice([chr(r.randint(1, 126)), chr(r.randint(160, 0x36F)), " ", "\n", "a", "B", "'s", ".", ","]) for _ in range(r.randint(0, 30)))
-        assert list(own.encode(text)) == own.tokenizer.encode(text, add_special_tokens=False).ids
-
-
-def test_packing_is_whole_and_gapless(spark, docs, empty):
-    from emberline.llm.packing import capacities, pack
-
-    path = public_tokenizers.path("word_bpe_49k.json")
-    rows = pack(docs, path).collect()
-    assert sum(r.length for r in rows) == sum({(r.doc_id, r.doc_tokens): r.doc_tokens for r in rows}.values()) + 5  # doc 3 stands twice
-    by = {}
-    for r in rows:
-        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for parts in by.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at == 4096 or at & (at - 1) == 0
-    assert pack(empty, path).count() == 0
-    assert capacities(10_000, 4096, True) == [4096, 4096, 1024, 512, 256, 16]
-
-
 def test_transport_stream_round_trip():
     from emberline.llm.mpegts import demux, mux, pad
 
