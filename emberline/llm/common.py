@@ -102,7 +102,7 @@ class Remembered:
         return values
 
 
-def slices(batch, column: int, most_bytes: int = 4 << 20):
+def slices(batch, column: int, most_bytes: int = 2 << 20):
     """The batch in slices whose texts in this column have at most so many bytes together (a longer text is alone)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -134,4 +134,5 @@ def bounded(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
 def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows whose key is not among ids (one column); rows with a null key stay."""
     gone = written(ids.toDF("_gone").filter("_gone is not null").distinct(), "gone")
-    return df.join(bounded(gone), F.col(key) == F.col("_gone"), "left_anti")
+    side = bounded(gone)
+    return df.join(side, df[key] == side["_gone"], "left_anti")

@@ -1,13 +1,15 @@
 """Removal of passages that repeat across documents.
 
 Paragraphs are lines.  Near-duplicate paragraphs meet by MinHash bands over word shingles and are
-verified by exact Jaccard similarity.  A passage may also sit in the middle of otherwise different
-paragraphs, where whole paragraphs are not alike; so lines are cut further at words chosen by
-content (least hash within a few words on either side), once line by line and once through the whole
-document, as a passage may be set in short lines or wrapped anew, and pieces that are equal in two
-documents are found by one grouped count.  Copies are folded before any join, and the paragraphs of a band
-bucket are compared with a few central ones of it, the rest with the next few, so the pairs of a
-bucket grow with its size and not with the square of it.
+verified by exact Jaccard similarity on 64-bit shingle hashes, which a second pass takes from the
+texts of those paragraphs alone that meet others.  Copies are folded before any join.  A bucket's
+paragraphs are compared with central ones of it first; what these leave in different components is
+compared in full, less the pairs that exact bounds rule out, so no link is lost.
+
+A passage may also sit in the middle of otherwise different paragraphs, where whole paragraphs are
+not alike; so lines are cut further at words chosen by content (least hash within a few words on
+either side), once line by line and once through the whole document, as a passage may be set in short
+lines or wrapped anew, and pieces that are equal in two documents are found by one grouped count.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .common import bounded, lean, written
 from .graph import connected_components
 
 MAX_REMEMBERED = 100_000
-UNITS = "paragraph boolean, doc_id long, start int, n int, key long, bands array<long>, shingles binary"
+UNITS = "paragraph boolean, doc_id long, start int, n int, key long, bands array<long>"
 #: Fixed odd multipliers, from a seeded generator.
 _RANDOM = np.random.default_rng(7).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -51,16 +53,28 @@ def _keys(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return _mix(np.add.reduceat(ids * table[place], starts) + lengths.astype(np.uint64))
 
 
+def _shingles(ids: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of every run of n words."""
+    return _mix(sum(ids[k : len(ids) - n + 1 + k] * _RANDOM[100 + k] for k in range(n)))
+
+
+def _word_ids(words: list[str], known: dict[str, int]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    for w in set(words).difference(known):
+        known[w] = xxh64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _lines(text: str) -> list[list[str]]:
+    return [words for line in text.lower().split("\n") if (words := line.split())]
+
+
 def units(df: DataFrame, radius: int, shingle: int, min_paragraph: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
     """One row per content-defined piece and per paragraph of at least min_paragraph words, in word offsets."""
 
     def cut(docs: list[tuple[int, list[list[str]]]], known: dict[str, int]) -> pa.RecordBatch:
-        from xxhash import xxh64_intdigest
-
-        words = [w for _, lines in docs for line in lines for w in line]
-        for w in set(words).difference(known):
-            known[w] = xxh64_intdigest(w)
-        ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        ids = _word_ids([w for _, lines in docs for line in lines for w in line], known)
         sizes = np.array([len(line) for _, lines in docs for line in lines])
         owner = np.repeat(np.arange(len(docs)), [len(lines) for _, lines in docs])
         line_starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -105,12 +119,11 @@ def units(df: DataFrame, radius: int, shingle: int, min_paragraph: int, bands: i
             [np.zeros(len(starts), bool), doc_ids[piece_doc], starts - doc_starts[piece_doc], lengths, piece_keys.view(np.int64)],
         ]
         long = np.flatnonzero(sizes >= min_paragraph)
-        band_values, shingle_values = [], []
+        band_values = []
         if len(long):
             line_keys = _keys(ids, line_starts, sizes)
             columns.append([np.ones(len(long), bool), doc_ids[owner[long]], (line_starts - doc_starts[owner])[long], sizes[long], line_keys[long].view(np.int64)])
-            hashes = sum(ids[k : len(ids) - shingle + 1 + k] * _RANDOM[100 + k] for k in range(shingle))
-            hashes = _mix(hashes)
+            hashes = _shingles(ids, shingle)
             within = np.concatenate([np.arange(line_starts[i], line_starts[i] + sizes[i] - shingle + 1) for i in long])
             hashes, counts = hashes[within], sizes[long] - shingle + 1
             at = np.concatenate(([0], np.cumsum(counts)[:-1]))
@@ -121,22 +134,19 @@ def units(df: DataFrame, radius: int, shingle: int, min_paragraph: int, bands: i
                     value = _mix(value + np.minimum.reduceat(_mix(hashes * _RANDOM[200 + b * rows + r]), at))
                 values[:, b] = value
             band_values = values.view(np.int64)
-            short = (hashes >> np.uint64(32)).astype("<u4")
-            shingle_values = [short[a : a + c].tobytes() for a, c in zip(at, counts, strict=True)]
         n, m = len(starts), len(long)
         flat = [np.concatenate(c) for c in zip(*columns, strict=True)]
         offsets = np.concatenate((np.zeros(n + 1, np.int32), np.arange(1, m + 1, dtype=np.int32) * bands))
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.ravel(band_values).astype(np.int64) if m else np.array([], np.int64)))
-        binary = pa.array([None] * n + shingle_values, pa.binary())
         types = [pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(flat, types, strict=True)] + [lists, binary], names=[c.split()[0] for c in UNITS.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(flat, types, strict=True)] + [lists], names=[c.split()[0] for c in UNITS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         held, size = [], 0
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                lines = [words for line in value.as_py().lower().split("\n") if (words := line.split())]
+                lines = _lines(value.as_py())
                 if lines:
                     held.append((doc_id, lines))
                     size += sum(map(len, lines))
@@ -153,33 +163,66 @@ def units(df: DataFrame, radius: int, shingle: int, min_paragraph: int, bands: i
 
 
 def jaccard(x: bytes, y: bytes) -> float:
-    """Exact Jaccard similarity of two lists of 32-bit shingle hashes."""
-    x, y = np.unique(np.frombuffer(x, "<u4")), np.unique(np.frombuffer(y, "<u4"))
+    """Jaccard similarity of two sorted lists of distinct 64-bit shingle hashes."""
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
+def paragraph_shingles(df: DataFrame, wanted: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
+    """(key, size, shingles): sorted distinct shingle hashes of the wanted paragraphs (key, doc_id, start) of the texts."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "key")).alias("_wanted"))
+    side = bounded(written(lists.withColumnRenamed("doc_id", "_doc"), "wanted"))
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(side, F.col("doc_id") == F.col("_doc")).select("text", "_wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            keys, found = [], []
+            for value, places in zip(batch.column(0), batch.column(1), strict=True):
+                at, own = 0, {p["start"]: p["key"] for p in places.as_py()}
+                for words in _lines(value.as_py()):
+                    if at in own and len(words) >= shingle:
+                        keys.append(own[at])
+                        found.append(np.unique(_shingles(_word_ids(words, known), shingle)))
+                    at += len(words)
+                if len(known) > MAX_REMEMBERED:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(map(len, found), pa.int32()), pa.array([f.astype("<u8").tobytes() for f in found], pa.binary())], names=["key", "size", "shingles"])
+
+    # Rows that repeat a document's key may hold other texts: one paragraph of a key is enough.
+    return rows.mapInArrow(lean(run), "key long, size int, shingles binary").groupBy("key").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
+
+
 def shared_shingles(paragraphs: DataFrame) -> DataFrame:
-    """(key, size, shared): a paragraph's distinct shingles, and those of them that another paragraph has too.
+    """(key, shared): how many of a paragraph's shingles another paragraph has too.
 
     A shingle's homes are folded to the least and the largest, so frequent ones meet as partial results.
     """
-    each = F.array_distinct(F.expr("transform(sequence(0, length(shingles) div 4 - 1), i -> substring(shingles, cast(i * 4 + 1 as int), 4))"))
+    each = F.expr("transform(sequence(0, size - 1), i -> substring(shingles, i * 8 + 1, 8))")
     homes = paragraphs.select("key", F.explode(each).alias("shingle")).groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("last"))
     alone = homes.groupBy("key").agg(F.sum(F.when(F.col("key") == F.col("last"), 1).otherwise(0)).alias("alone"))
-    sizes = paragraphs.select("key", F.size(each).alias("size")).join(alone, "key", "left")
-    return sizes.select("key", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return paragraphs.select("key", "size").join(alone, "key", "left").select("key", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def band_buckets(paragraphs: DataFrame) -> DataFrame:
+    """(key, bands, band, value, crowd): distinct paragraphs in the band buckets that hold several of them."""
+    classes = paragraphs.groupBy("key").agg(F.first("bands").alias("bands"))
+    met = classes.select("key", "bands", F.posexplode("bands").alias("band", "value"))
+    crowds = met.groupBy("band", "value").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    return met.join(crowds, ["band", "value"])
 
 
-def paragraph_links(paragraphs: DataFrame, similarity: float, at_once: int = 128) -> DataFrame:
-    """Links (a, b) between distinct paragraph keys that share a band bucket and are alike.
+def paragraph_links(buckets: DataFrame, shingles: DataFrame, similarity: float, hub_rounds: int = 2, block: int = 2048) -> DataFrame:
+    """Links (a, b) between paragraph keys that connect all that share a band bucket and are alike.
 
-    The paragraph of a bucket that meets most others is compared with all, then the next at_once - 1.
-    Two exact bounds keep later pairs from the comparison.  Jaccard distance is a metric, so their
-    distances to the first must lie near enough for them to be alike (and no bucket's first, one a band
-    at most, may have linked both already); and two paragraphs have at most those shingles in common that each shares with any other,
-    so those with many shingles of their own (edited copies of one text) are ruled out by counts.
-    Those alike to none stay and are compared with the next ones.
+    buckets as by band_buckets, shingles (key, size, shingles).  In each of the first rounds the
+    paragraph of a bucket that meets most others is compared with the bucket's members in other components
+    than its own.  Then all pairs of a bucket that are still in different components are compared,
+    each in the first band that they share, but for those that exact bounds rule out: Jaccard distance
+    is a metric, so distances to the bucket's first paragraph must lie near enough; and two paragraphs
+    have at most those shingles in common that each shares with any other.  Large buckets are
+    compared in blocks, so that tasks stay even.
     """
 
     @F.pandas_udf("double")
@@ -188,65 +231,81 @@ def paragraph_links(paragraphs: DataFrame, similarity: float, at_once: int = 128
 
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    classes = written(paragraphs.groupBy("key").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles")), "paragraph-classes")
-    met = classes.select("key", F.posexplode("bands").alias("band", "value"))
-    crowds = met.groupBy("band", "value").agg(F.count("*").alias("size")).filter("size > 1")
-    left = written(met.join(crowds, ["band", "value"]), "buckets")
-    # Whoever meets most others over all bands is nearest the middle of its group.
-    weights = left.groupBy("key").agg(F.sum("size").alias("weight"))
-    shingles = written(classes.select("key", "shingles").join(weights, "key"), "crowded")
-    counts = written(shared_shingles(shingles), "shared").filter(F.col("shared") >= similarity * F.col("size") - 1e-9)
-    left = left.select("band", "value", "key").join(shingles.select("key", "weight").join(counts, "key"), "key")
     own, other = shingles.select("key", F.col("shingles").alias("own")), shingles.select(F.col("key").alias("hub"), "shingles")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return pairs.join(own, "key").join(other, "hub").select("key", "hub", _jaccard("own", "shingles").alias("s"))
-
-    found, bucket = None, ["band", "value"]
-    order = Window.partitionBy(*bucket).orderBy(F.desc("weight"), "key")
-    reach = 1 - similarity + 1e-9
-    while True:
-        crowds = left.groupBy(*bucket).count().filter("count > 1").drop("count")
-        left = written(left.join(crowds, bucket).withColumn("place", F.row_number().over(order)).withColumn("top", F.first("key").over(order)), "buckets")
-        first = written(compared(left.filter("place > 1").select("key", F.col("top").alias("hub")).distinct()), "first-hub")
-        tops = first.filter(F.col("s") >= similarity).groupBy("key").agg(F.collect_set("hub").alias("linked"))
-        members = left.join(first.withColumnRenamed("hub", "top"), ["key", "top"]).join(tops, "key", "left")
-        members = members.withColumn("linked", F.concat(F.array("key"), F.coalesce("linked", F.array().cast("array<long>"))))
-        hubs = members.filter(F.col("place") <= at_once).select(*bucket, F.col("key").alias("hub"), F.col("place").alias("hub_place"), F.col("s").alias("hub_s"), F.col("size").alias("hub_size"), F.col("shared").alias("hub_shared"), F.col("linked").alias("hub_linked"))
-        near = (F.abs(F.col("s") - F.col("hub_s")) <= reach) & ~F.arrays_overlap("linked", "hub_linked")
-        most = F.least("shared", "hub_shared")
-        possible = most >= similarity * (F.col("size") + F.col("hub_size") - most) - 1e-9
-        pairs = members.join(hubs, bucket).filter((F.col("hub_place") < F.col("place")) & near & possible).select("key", "hub").distinct()
-        alike = written(first.union(compared(pairs)).filter(F.col("s") >= similarity).select("key", "hub").distinct(), "alike")
-        links = alike.select(F.col("key").alias("a"), F.col("hub").alias("b"))
+        return written(pairs.join(own, "key").join(other, "hub").select("key", "hub", _jaccard("own", "shingles").alias("s")), "compared")
+
+    bucket, reach = ["band", "value"], 1 - similarity + 1e-9
+    # Whoever meets most others over all bands is nearest the middle of its group.
+    weights = buckets.groupBy("key").agg(F.sum("crowd").alias("weight"))
+    counts = shingles.select("key", "size").join(shared_shingles(shingles), "key").filter(F.col("shared") >= similarity * F.col("size") - 1e-9)
+    left = buckets.drop("crowd").join(weights.join(counts, "key"), "key").withColumns({"component": F.col("key"), "done": F.lit(False)})
+    left, found, first = written(left, "buckets"), None, None
+    for _ in range(hub_rounds):
+        central = F.min(F.struct("done", (-F.col("weight")).alias("weight"), F.col("key").alias("hub"), F.col("component").alias("hub_component")))
+        tops = written(left.groupBy(*bucket).agg(central.alias("top")).select(*bucket, "top.hub", "top.hub_component"), "hubs")
+        scored = compared(left.join(tops, bucket).filter("component <> hub_component").select("key", "hub").distinct())
+        first = first or (tops, scored)
+        links = scored.filter(F.col("s") >= similarity).select(F.col("key").alias("a"), F.col("hub").alias("b"))
         found = links if found is None else found.union(links)
-        rest = left.filter(F.col("place") > at_once)
-        if rest.isEmpty():
-            return found
-        centres = left.filter(F.col("place") <= at_once).select(*bucket, F.col("key").alias("hub"))
-        met_hub = rest.select(*bucket, "key").join(alike, "key").join(centres, [*bucket, "hub"], "left_semi").select(*bucket, "key").distinct()
-        left = rest.join(met_hub, [*bucket, "key"], "left_anti").select("key", *bucket, "weight", "size", "shared")
+        components = written(connected_components(found).select(F.col("node").alias("key"), F.col("component").alias("now")), "components")
+        left = left.join(components, "key", "left").withColumn("component", F.coalesce("now", "component")).drop("now", "done")
+        hubs = tops.select(*bucket, F.col("hub").alias("key")).join(components, "key", "left").select(*bucket, F.coalesce("now", "key").alias("now"))
+        open_ = left.groupBy(*bucket).agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select(*bucket)
+        left = written(left.join(hubs.join(open_, bucket), bucket).withColumn("done", F.col("component") == F.col("now")).drop("now"), "buckets")
+    tops, scored = first
+    blocks = left.groupBy(*bucket).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    left = left.join(tops.join(blocks, bucket), bucket).join(scored, ["key", "hub"], "left").withColumn("s", F.when(F.col("key") == F.col("hub"), 1.0).otherwise(F.col("s")))
+    left = left.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    left = written(left.select("key", *bucket, "bands", "size", "shared", "s", "component", "blocks", "own"), "members")
+    one = left.withColumn("to", F.explode(F.sequence("own", F.col("blocks") - 1))).withColumnRenamed("own", "from").drop("blocks")
+    two = left.withColumn("from", F.explode(F.sequence(F.lit(0), "own"))).withColumnRenamed("own", "to").drop("blocks")
+    two = two.select(*bucket, "from", "to", *[F.col(c).alias(f"hub_{c}") for c in ("key", "bands", "size", "shared", "s", "component")])
+    most = F.least("shared", "hub_shared")
+    possible = most >= similarity * (F.col("size") + F.col("hub_size") - most) - 1e-9
+    near = F.coalesce(F.abs(F.col("s") - F.col("hub_s")) <= reach, F.lit(True))
+    once = F.expr("not exists(sequence(0, band), b -> b < band and bands[b] = hub_bands[b])")
+    apart = (F.col("component") != F.col("hub_component")) & ((F.col("from") != F.col("to")) | (F.col("key") < F.col("hub_key")))
+    pairs = one.join(two, [*bucket, "from", "to"]).filter(apart & possible & near & once).select("key", F.col("hub_key").alias("hub"))
+    rest = compared(pairs).filter(F.col("s") >= similarity).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    return found.union(rest)
+
+
+def alike_paragraphs(df: DataFrame, paragraphs: DataFrame, similarity: float, shingle: int, key: str, text: str) -> DataFrame:
+    """(doc_id, start, n, first): near-duplicate paragraphs that several documents hold, with the least of these."""
+    buckets = written(band_buckets(paragraphs), "band-buckets")
+    met = paragraphs.join(buckets.select("key").distinct(), "key", "left_semi")
+    wanted = met.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("key", "at.doc_id", "at.start")
+    shingles = written(paragraph_shingles(df, wanted, shingle, key, text), "paragraph-shingles")
+    components = connected_components(paragraph_links(buckets, shingles, similarity))
+    # Equal paragraphs share a key and need no link.
+    named = paragraphs.select("key", "doc_id", "start", "n").join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    firsts = named.groupBy("component").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    return named.join(firsts, "component").select("doc_id", "start", "n", "first")
+
+
+def equal_pieces(pieces: DataFrame) -> DataFrame:
+    """(doc_id, start, n, first): content-defined pieces that several documents hold, with the least of these."""
+    shared = pieces.groupBy("key", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    return pieces.join(shared.select("key", "n", "first"), ["key", "n"]).select("doc_id", "start", "n", "first")
 
 
 def repeated_passages(
-    df: DataFrame, min_words: int = 12, radius: int = 5, shingle: int = 5, min_paragraph: int = 45, similarity: float = 0.8, rows: int = 5, recall: float = 0.99, key: str = "doc_id", text: str = "text"
+    df: DataFrame, min_words: int = 20, radius: int = 5, shingle: int = 5, min_paragraph: int = 20, similarity: float = 0.8, rows: int = 5, recall: float = 0.99, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Spans of at least min_words words that another document has too, in word offsets.
 
     Gives (key, start, n_words, component_id, removed): component_id is the least key among the documents
     that hold the passage or a near-duplicate paragraph of it, and the document of that key keeps it.
-    Words part at white space and are compared in lower case.  Null keys and texts, and texts without
-    words, give no rows; rows that repeat a key count as one document; other columns are ignored.
+    Paragraphs of at least min_paragraph words are banded; shorter ones than min_words could not be
+    reported.  Words part at white space and are compared in lower case.  Null keys and texts, texts
+    without words and empty tables give no rows; rows that repeat a key count as one document; other
+    columns are ignored; very long texts are taken whole, one at a time.
     """
-    found = written(units(df, radius, shingle, min_paragraph, band_count(similarity, rows, recall), rows, key, text), "passage-units")
-    pieces = found.filter("not paragraph").select("key", "doc_id", "start", "n")
-    paragraphs = found.filter("paragraph")
-    shared = pieces.groupBy("key", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    equal = pieces.join(shared.select("key", "n", "first"), ["key", "n"]).select("doc_id", "start", "n", "first")
-    components = connected_components(paragraph_links(paragraphs, similarity))
-    named = paragraphs.select("key", "doc_id", "start", "n").join(components.withColumnRenamed("node", "key"), "key")
-    firsts = named.groupBy("component").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    alike = named.join(firsts, "component").select("doc_id", "start", "n", "first")
+    found = written(units(df, radius, shingle, max(min_paragraph, shingle), band_count(similarity, rows, recall), rows, key, text), "passage-units")
+    equal = equal_pieces(found.filter("not paragraph").select("key", "doc_id", "start", "n"))
+    alike = alike_paragraphs(df, found.filter("paragraph"), similarity, shingle, key, text)
     return merge_spans(equal.union(alike), min_words).withColumnRenamed("doc_id", key)
 
 
@@ -301,6 +360,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", **opt
 
         return pd.Series([t if s is None or t is None else without_spans(t, [(x["start"], x["n_words"]) for x in s]) for t, s in zip(texts, spans_, strict=True)], dtype="object")
 
-    joined = df.join(bounded(lists), F.col(key) == F.col("_key"), "left").withColumn("_left", F.coalesce(kept(F.when(F.col("_spans").isNotNull(), F.col(text)), F.col("_spans")), F.col(text)))
+    whole = df.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
+    joined = whole.join(bounded(lists), F.col("_id") == F.col("_key"), "left")
+    joined = joined.withColumn("_left", F.coalesce(kept(F.when(F.col("_spans").isNotNull(), F.col("_text")), F.col("_spans")), F.col("_text")))
     stays = F.col("_spans").isNull() | (F.length(F.trim("_left")) > 0)
-    return joined.filter(stays).select(*[F.col("_left").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns])
+    return joined.filter(stays).select(*[F.col("_left").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in df.columns])

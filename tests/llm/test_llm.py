@@ -90,69 +90,6 @@ def test_simhash_components_equal_brute_force(spark):
     assert {p: got.get(p, p) for p in points} == {p: find(p) for p in points}
 
 
-def test_passages_inside_other_text_are_found(spark, empty):
-    from emberline.llm.passages import remove_repeats, repeated_passages
-
-    r = random.Random(7)
-    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
-    passage = words(60)
-    rows = [(1, f"{words(100)} {passage} {words(80)}"), (2, f"{words(50)} {passage}\n{words(90)}"), (3, words(300)), (4, None), (5, ""), (None, passage)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = repeated_passages(docs).collect()
-    assert {(x.doc_id, x.removed, x.component_id) for x in found} == {(1, False, 1), (2, True, 1)}
-    kept = {x.doc_id: x.text for x in remove_repeats(docs).collect()}
-    assert len(kept) == 6 and kept[1] == rows[0][1] and kept[3] == rows[2][1] and len(kept[2].split()) < 190
-    assert repeated_passages(empty).count() == 0
-
-
-def test_passages_in_short_lines_are_found(spark):
-    """Passages of 60 words in lines of so many words, alike in two documents and wrapped anew in a third."""
-    from emberline.llm.passages import repeated_passages
-
-    r = random.Random(12)
-    words = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
-    wrapped = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
-    rows, widths = [], [2, 3, 4, 5, 6, 7, 8, 11] * 12
-    for i, width in enumerate(widths):
-        passage = words(60)
-        rows += [(3 * i + k, "\n".join((wrapped(words(24), width), wrapped(passage, n), wrapped(words(24), width)))) for k, n in enumerate((width, width, width + 9))]
-    found = {}
-    for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        if x.doc_id % 3 < 2:
-            assert x.removed == (x.doc_id % 3 > 0) and x.component_id == x.doc_id // 3 * 3
-        found.setdefault(x.doc_id, set()).update(range(x.start, x.start + x.n_words))
-    assert all(v <= set(range(24, 84)) for v in found.values())
-    for width in sorted(set(widths)):
-        own = [i for i, w in enumerate(widths) if w == width]
-        alike, anew = ([len(found.get(3 * i + k, ())) for i in own] for k in (1, 2))
-        assert min(alike) >= 50, (width, alike)
-        assert min(anew) >= 12 and sum(anew) >= 0.5 * 60 * len(anew), (width, anew)
-
-
-def test_paragraph_components_in_one_bucket_equal_brute_force(spark):
-    """Pairs left out for their distances to the first paragraph of a bucket take no link away."""
-    from emberline.llm.graph import connected_components
-    from emberline.llm.passages import jaccard, paragraph_links
-
-    rng, rows = np.random.default_rng(5), []
-    for base in np.array_split(rng.permutation(2_000)[:400].astype("<u4"), 4):
-        for _ in range(10):
-            changed = base.copy()
-            places = rng.choice(100, rng.integers(0, 25), replace=False)
-            changed[places] = rng.integers(10_000, 1 << 31, len(places))
-            rows.append((len(rows), [1], changed.tobytes()))
-    rows += [(40, [1], np.arange(3, dtype="<u4").tobytes()), (41, [2], rows[0][2])]
-    least = list(range(40))
-    for _ in least:
-        for a, b in combinations(range(40), 2):
-            if jaccard(rows[a][2], rows[b][2]) >= 0.8:
-                least[a] = least[b] = min(least[a], least[b])
-    frame = spark.createDataFrame(rows, "key long, bands array<long>, shingles binary")
-    found = {r.node: r.component for r in connected_components(paragraph_links(frame, 0.8)).collect()}
-    assert {k: found.get(k, k) for k in range(42)} == dict(enumerate(least)) | {40: 40, 41: 41}
-    assert len(set(least)) > 5
-
-
 def test_warc_round_trip(spark):
     from emberline.llm.warc import archive_round_trip, coalesced
 
