@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HELD_OUT, fold, lean
+from .common import HELD_OUT, fold, lean, slices
 
 UNKNOWN, BLANK, SHIFT = "und", 32, 21
 
@@ -53,9 +53,9 @@ def profiles(rows: DataFrame, size: int = 400, language: str = "lang", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, 1, 1 << 19)):
             by: dict[str, list[np.ndarray]] = {}
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 by.setdefault(name, []).append(ngrams(value.as_py()))
             for name, parts in by.items():
                 codes, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -98,13 +98,8 @@ class Profiles:
         return self.names[best], float(1 - out[best] / (self.size * len(own)))
 
 
-def identify(df: DataFrame, size: int = 400, key: str = "doc_id", text: str = "text", language: str = "lang", keep: bool = False) -> DataFrame:
-    """Predict every row's language from profiles of the rows whose fold is not held out.
-
-    Gives (key, held_out, lang_pred, score), or with keep all own columns and these.  Null texts and
-    texts without a letter are `und` with score 0; so are all where nothing could be learnt.  A null
-    key counts as the empty text for the fold; other columns are ignored.
-    """
+def _judged(df: DataFrame, size: int, key: str, text: str, language: str) -> DataFrame:
+    """(_row, held_out, lang_pred, score): whole rows with what is predicted for them."""
     held = fold(F.col(key)) == HELD_OUT
     rows = profiles(df.filter(~held), size, language, text).collect()  # size rows a language at most
     model = df.sparkSession.sparkContext.broadcast(Profiles([tuple(r) for r in rows], size))
@@ -115,6 +110,22 @@ def identify(df: DataFrame, size: int = 400, key: str = "doc_id", text: str = "t
 
         return pd.DataFrame([model.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = df.withColumn("held_out", held).withColumn("_p", predicted(F.col(text)))
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("held_out", "lang_pred", "score")] if keep else [F.col(key)]
-    return out.select(*kept, "held_out", F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+    out = df.select(F.struct("*").alias("_row"), held.alias("held_out"), predicted(F.col(text)).alias("_p"))
+    return out.select("_row", "held_out", "_p.lang_pred", "_p.score")
+
+
+def identify(df: DataFrame, size: int = 400, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
+    """(key, held_out, lang_pred, score): every row's language, from profiles of the rows whose fold is not held out.
+
+    Null texts and texts without a letter are `und` with score 0; so are all where nothing could be
+    learnt.  Rows with a null language or text are not learnt from.  A null key counts as the empty text
+    for the fold; repeated rows count and are judged each; other columns are ignored; an empty table
+    gives no rows; long texts are counted in slices of bounded bytes.
+    """
+    return _judged(df.select(key, text, language), size, key, text, language).select(f"_row.{key}", "held_out", "lang_pred", "score")
+
+
+def in_known_language(df: DataFrame, least_score: float, size: int = 400, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
+    """The rows, with their own columns, that some profile fits at least so well; null texts and texts without a letter go."""
+    kept = _judged(df, size, key, text, language).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])
