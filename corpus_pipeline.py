@@ -17,11 +17,10 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that some language's profile fits; null texts and texts without a letter go."""
-    from emberline.llm.language import UNKNOWN, identify
+    from emberline.llm.language import in_known_language
 
     small_batches(spark)
-    judged = identify(docs, keep=True)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    return in_known_language(docs, LEAST_LANGUAGE_SCORE)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
