@@ -205,18 +205,17 @@ def shared_shingles(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.select("key", "size").join(alone, "key", "left").select("key", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def band_buckets(paragraphs: DataFrame) -> DataFrame:
-    """(key, bands, band, value, crowd): distinct paragraphs in the band buckets that hold several of them."""
-    classes = paragraphs.groupBy("key").agg(F.first("bands").alias("bands"))
-    met = classes.select("key", "bands", F.posexplode("bands").alias("band", "value"))
+def band_buckets(classes: DataFrame) -> DataFrame:
+    """(key, band, value, crowd): the band buckets that hold several of these distinct paragraphs (key, bands)."""
+    met = classes.select("key", F.posexplode("bands").alias("band", "value"))
     crowds = met.groupBy("band", "value").agg(F.count("*").alias("crowd")).filter("crowd > 1")
     return met.join(crowds, ["band", "value"])
 
 
-def paragraph_links(buckets: DataFrame, shingles: DataFrame, similarity: float, hub_rounds: int = 2, block: int = 2048) -> DataFrame:
+def paragraph_links(classes: DataFrame, buckets: DataFrame, shingles: DataFrame, similarity: float, hub_rounds: int = 2, block: int = 2048) -> DataFrame:
     """Links (a, b) between paragraph keys that connect all that share a band bucket and are alike.
 
-    buckets as by band_buckets, shingles (key, size, shingles).  In each of the first rounds the
+    classes (key, bands), buckets as by band_buckets, shingles (key, size, shingles).  In each of the first rounds the
     paragraph of a bucket that meets most others is compared with the bucket's members in other components
     than its own.  Then all pairs of a bucket that are still in different components are compared,
     each in the first band that they share, but for those that exact bounds rule out: Jaccard distance
@@ -258,7 +257,7 @@ def paragraph_links(buckets: DataFrame, shingles: DataFrame, similarity: float,
     blocks = left.groupBy(*bucket).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     left = left.join(tops.join(blocks, bucket), bucket).join(scored, ["key", "hub"], "left").withColumn("s", F.when(F.col("key") == F.col("hub"), 1.0).otherwise(F.col("s")))
     left = left.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    left = written(left.select("key", *bucket, "bands", "size", "shared", "s", "component", "blocks", "own"), "members")
+    left = written(left.join(classes, "key").select("key", *bucket, "bands", "size", "shared", "s", "component", "blocks", "own"), "members")
     one = left.withColumn("to", F.explode(F.sequence("own", F.col("blocks") - 1))).withColumnRenamed("own", "from").drop("blocks")
     two = left.withColumn("from", F.explode(F.sequence(F.lit(0), "own"))).withColumnRenamed("own", "to").drop("blocks")
     two = two.select(*bucket, "from", "to", *[F.col(c).alias(f"hub_{c}") for c in ("key", "bands", "size", "shared", "s", "component")])
@@ -274,11 +273,12 @@ def paragraph_links(buckets: DataFrame, shingles: DataFrame, similarity: float,
 
 def alike_paragraphs(df: DataFrame, paragraphs: DataFrame, similarity: float, shingle: int, key: str, text: str) -> DataFrame:
     """(doc_id, start, n, first): near-duplicate paragraphs that several documents hold, with the least of these."""
-    buckets = written(band_buckets(paragraphs), "band-buckets")
+    classes = written(paragraphs.groupBy("key").agg(F.first("bands").alias("bands")), "paragraph-classes")
+    buckets = written(band_buckets(classes), "band-buckets")
     met = paragraphs.join(buckets.select("key").distinct(), "key", "left_semi")
     wanted = met.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("key", "at.doc_id", "at.start")
     shingles = written(paragraph_shingles(df, wanted, shingle, key, text), "paragraph-shingles")
-    components = connected_components(paragraph_links(buckets, shingles, similarity))
+    components = connected_components(paragraph_links(classes, buckets, shingles, similarity))
     # Equal paragraphs share a key and need no link.
     named = paragraphs.select("key", "doc_id", "start", "n").join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     firsts = named.groupBy("component").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")

@@ -86,7 +86,7 @@ def test_links_of_crowded_buckets_equal_brute_force(spark, block):
     want = least_by_links(len(sets), [(a, b) for a, b in met if jaccard(data[a], data[b]) >= 0.8])
     paragraphs = spark.createDataFrame(list(enumerate(bands)), "key long, bands array<long>")
     shingles = spark.createDataFrame([(k, len(x), d) for k, (x, d) in enumerate(zip(sets, data, strict=True))], "key long, size int, shingles binary")
-    links = paragraph_links(band_buckets(paragraphs), shingles, 0.8, block=block)
+    links = paragraph_links(paragraphs, band_buckets(paragraphs), shingles, 0.8, block=block)
     found = {r.node: r.component for r in connected_components(links).collect()}
     assert [found.get(k, k) for k in range(len(sets))] == want
     assert 5 < len(set(want)) < 60
