@@ -2,13 +2,15 @@
 
 Every element's subtree is hashed (tag, text and children); Spark counts on how many different pages
 of a host each subtree stands, and subtrees that recur across many of them are deleted.  Pages with
-equal main text count once, so copies of a page do not make a template.  Elements that are furniture
-by their tag, role or class go as well.  What is left of the article becomes blocks of text.
+equal main text count once, so copies of a page do not make a template.  What a single page tells by
+itself goes as well: elements whose tag, role or whole class or id name says that they are menus,
+footers, sidebars, notices, adverts, forms, scripts, styles or reader comments.  What is left of the
+article becomes blocks of text.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, small_enough, written
+from .common import bounded, lean, slices, written
 
 # HTML element names by their role, and class words of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,44 +29,49 @@ BLOCK = frozenset(
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-CLASS_WORDS = re.compile(
-    r"^(ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|popup\w*|modal|newsletter|subscri\w*|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|repl(y|ies)|respond|share|sharing|social|related|recommend\w*|widget\w*|login|signup|paginat\w*|pager|toolbar|skip)$"
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner cookie-notice cookie-banner cookie-consent cookies consent gdpr notice notices notification popup modal newsletter newsletter-signup subscribe sidebar side-bar menu main-menu nav navbar navigation breadcrumb breadcrumbs header site-header page-header footer site-footer page-footer masthead comments comment-list commentlist comment-section reader-comments user-comments disqus_thread respond replies share sharing social social-links related related-posts related-articles recommended widget login signup search pagination pager toolbar skip-link".split()
 )
-MAX_DEPTH = 400
+_P_ENDS = BLOCK - {"p"}
+_ITEMS, _LISTS = frozenset("li dt dd tr td th option".split()), frozenset("ul ol dl table select".split())
 
 
 class Node:
-    __slots__ = ("tag", "words", "parts", "furniture", "digest", "size")
+    __slots__ = ("tag", "parts", "furniture", "digest", "size", "flows")
 
     def __init__(self, tag: str, attributes: dict[str, str | None]):
         self.tag = tag
-        names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower()
-        self.words = [w for w in re.split(r"[^a-z0-9]+", names) if w]
         self.parts: list[Node | str] = []
-        self.furniture = tag in FURNITURE or "hidden" in attributes or attributes.get("aria-hidden") == "true" or (attributes.get("role") or "").lower() in ROLES
+        names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".lower().split()
+        by_name = tag not in ("html", "body", "main") and not NAMES.isdisjoint(names)
+        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true"
+        self.furniture = tag in FURNITURE or by_name or hidden or (attributes.get("role") or "").lower() in ROLES
         self.digest = self.size = 0
+        self.flows = tag in FLOW
 
 
 class TreeBuilder(HTMLParser):
-    """A forgiving tree: paragraphs end where blocks begin, stray end tags are ignored."""
+    """A forgiving tree of any depth: paragraphs end where blocks begin, stray end tags are ignored."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.count = Counter()
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.open[-1].parts.append(" ")
             return
         if tag in BLOCK:
-            self._close("p", BLOCK - {"p"})
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            self._close(tag, frozenset(("ul", "ol", "dl", "table", "select")))
+            self._close("p", _P_ENDS)
+        if tag in _ITEMS:
+            self._close(tag, _LISTS)
         node = Node(tag, dict(attrs))
         self.open[-1].parts.append(node)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
+        if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -75,8 +82,11 @@ class TreeBuilder(HTMLParser):
         self._close(tag, frozenset() if tag in BLOCK else BLOCK)
 
     def _close(self, tag: str, barrier: frozenset) -> None:
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
+                self.count.subtract(n.tag for n in self.open[k:])
                 del self.open[k:]
                 return
             if self.open[k].tag in barrier:
@@ -99,41 +109,30 @@ def parse(html: str) -> Node:
         text = " ".join(" ".join(f"<{p.digest}>" if isinstance(p, Node) else p for p in node.parts).split())
         node.digest = xxh64_intdigest(f"{node.tag} {text}") - (1 << 63)
         node.size = sum(p.size if isinstance(p, Node) else len(p.split()) for p in node.parts)
+        node.flows |= any(p.flows for p in node.parts if isinstance(p, Node))
     return builder.root
 
 
-def _live(node: Node, tags: frozenset) -> Iterator[Node]:
-    for part in node.parts:
-        if isinstance(part, Node) and not is_furniture(part):
-            if part.tag in tags:
-                yield part
-            else:
-                yield from _live(part, tags)
-
-
-def is_furniture(node: Node) -> bool:
-    if node.tag in ("html", "body", "main"):
-        return False
-    return node.furniture or any(CLASS_WORDS.match(w) for w in node.words)
+def main_nodes(root: Node) -> list[Node]:
+    """The page's articles outside furniture, in page order; else its main elements, else the whole page."""
+    found: dict[str, list[Node]] = {"article": [], "main": []}
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in found:
+            found[node.tag].append(node)
+        if node.tag != "article":
+            todo.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.furniture)
+    return found["article"] or found["main"] or [root]
 
 
-def main_node(root: Node) -> Node:
-    """The longest article, else the main element, else the whole page."""
-    for tag in ("article", "main"):
-        found = list(_live(root, frozenset((tag,))))
-        if found:
-            return max(found, key=lambda n: n.size)
-    return root
+def main_text(root: Node, templates: frozenset = frozenset()) -> str:
+    """Blocks of the main elements in page order, without template subtrees and furniture.
 
-
-def main_text(root: Node, templates: frozenset = frozenset(), longest_template: int = 60) -> str:
-    """Blocks of the main element in page order, without furniture and template subtrees.
-
-    In an article or main element, text blocks (paragraphs, headings, list items ...) and long
-    subtrees are never taken for a template.
+    The text blocks of an article or main element (paragraphs, headings, list items ..., and what
+    holds them) are never taken for a template: sentences may recur there.
     """
-    top, blocks, current = main_node(root), [], []
-    explicit = top is not root
+    blocks, current = [], []
 
     def end() -> None:
         text = " ".join("".join(current).split())
@@ -141,24 +140,23 @@ def main_text(root: Node, templates: frozenset = frozenset(), longest_template:
             blocks.append(text)
         current.clear()
 
-    def walk(node: Node, headings_only: bool) -> None:
-        for part in node.parts:
-            if not isinstance(part, Node):
+    for top in main_nodes(root):
+        explicit = top is not root
+        stack = [(iter(top.parts), False, True)]
+        while stack:
+            parts, headings_only, block = stack[-1]
+            part = next(parts, None)
+            if part is None:
+                stack.pop()
+                if block:
+                    end()
+            elif not isinstance(part, Node):
                 if not headings_only:
                     current.append(part)
-                continue
-            if is_furniture(part) or part.digest in templates and not (explicit and (part.tag in FLOW or part.tag not in BLOCK or part.size > longest_template)):
-                continue
-            only = (headings_only or part.tag == "header") and part.tag not in HEADINGS
-            if part.tag in BLOCK:
-                end()
-                walk(part, only)
-                end()
-            else:
-                walk(part, only)
-
-    walk(top, False)
-    end()
+            elif not part.furniture and not (part.digest in templates and not (explicit and (part.flows or part.tag not in BLOCK))):
+                if part.tag in BLOCK:
+                    end()
+                stack.append((iter(part.parts), (headings_only or part.tag == "header") and part.tag not in HEADINGS, part.tag in BLOCK))
     return "\n\n".join(blocks)
 
 
@@ -187,9 +185,9 @@ def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.3,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, 1)):
             hosts, contents, lists = [], [], []
-            for host, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for host, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 root = parse(value.as_py())
                 hosts.append(host)
                 contents.append(xxh64_intdigest(main_text(root)) - (1 << 63))
@@ -204,21 +202,20 @@ def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.3,
     return many.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", max_broadcast_hosts: int = 200_000, **options) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", **options) -> DataFrame:
     """(key, url, text, n_chars) for every page.
 
     Null and empty pages give an empty text; null urls and urls without a host share the host "".
-    Repeated rows stay, other columns are ignored.
+    Repeated rows stay, other columns are ignored, an empty table gives no rows; very long pages and
+    pages of any depth are taken whole.
     """
-    templates = written(site_templates(pages, url=url, html=html, **options), "templates")
-    side = templates.withColumnRenamed("host", "_host")
-    if small_enough(side, max_broadcast_hosts):
-        side = F.broadcast(side)
-    joined = pages.select(key, F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host")).join(side, F.col("host") == F.col("_host"), "left")
+    side = bounded(written(site_templates(pages, url=url, html=html, **options).withColumnRenamed("host", "_host"), "templates"))
+    rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
+    joined = rows.join(side, F.col("host") == F.col("_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(parse(h.as_py() or ""), frozenset(t.as_py() or ())) for h, t in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[key, "url", "text", "n_chars"])
+        for part in (part for batch in batches for part in slices(batch, 2)):
+            texts = [main_text(parse(h.as_py() or ""), frozenset(t.as_py() or ())) for h, t in zip(part.column(2), part.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[key, "url", "text", "n_chars"])
 
-    return joined.select(F.col(key).cast("long").alias(key), "url", "html", "templates").mapInArrow(lean(run), f"`{key}` long, url string, text string, n_chars long")
+    return joined.select("page", "url", "html", "templates").mapInArrow(lean(run), f"`{key}` long, url string, text string, n_chars long")
