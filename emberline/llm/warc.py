@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import uuid
 import zlib
 from base64 import b32encode
@@ -20,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, scratch
+from .common import bounded, lean, scratch, written
 
 INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, archive string, offset long, length long"
 READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -42,10 +43,13 @@ def with_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html",
     Of rows with equal payloads of at least min_bytes bytes, those with the largest key are
     responses and the others revisits of it; smaller payloads are all responses.  Null payloads
     count as empty.  A null key never is the largest: it revisits, unless no row of the group has one.
+    Rows that repeat the largest key are all responses.  Only digests and keys are shuffled; payloads
+    are where the repeated digests are too many to broadcast.
     """
     rows = pages.withColumn(payload, F.coalesce(F.col(payload), F.lit("")))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col(payload))).withColumn("payload_bytes", F.octet_length(payload).cast("long"))
-    newest = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("_digest")).agg(F.max(key).alias("_newest"))
+    groups = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("_digest")).agg(F.max(key).alias("_newest"), F.count("*").alias("_n"))
+    newest = bounded(written(groups.filter("_n > 1").drop("_n"), "repeated"))
     joined = rows.join(newest, (rows.payload_digest == newest._digest) & (rows.payload_bytes >= min_bytes), "left")
     revisit = F.col("_newest").isNotNull() & ~F.col(key).eqNullSafe(F.col("_newest"))
     return (
@@ -165,11 +169,13 @@ def read_records(index: DataFrame, folder: str, partitions: int | None = None, g
     return places.sortWithinPartitions("archive", "offset").mapInArrow(lean(run), READ)
 
 
-def archive_round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", min_bytes: int = 0) -> DataFrame:
+def archive_round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", min_bytes: int = 0, read_bytes: int = 4 << 20) -> DataFrame:
     """Write every page as a WARC record in the shared folder and read all of them back through the index."""
     spark = pages.sparkSession
     folder, index_path = scratch(spark, "warc"), scratch(spark, "warc-index")
     records = with_revisits(pages.select(key, "url", payload), key, payload, min_bytes)
     write_archives(records, folder, key, payload).write.parquet(index_path)
     index = spark.read.schema(INDEX).parquet(index_path)
-    return read_records(index, folder)
+    # Index rows are narrow: deal the reads out by the bytes of the archives that they name.
+    stored = index.agg(F.sum("length")).first()[0] or 0
+    return read_records(index, folder, partitions=max(1, math.ceil(stored / read_bytes)))
