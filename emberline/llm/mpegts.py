@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, slices, written
 
 #: Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, PAT_PID, STREAM_PRIVATE_PES, STREAM_ID_PRIVATE_1 = 188, 0x47, 0x0000, 0x06, 0xBD
@@ -109,6 +109,8 @@ class Stream:
     pid: int = -1
     packets: int = 0
     lost: int = 0
+    repeated: int = 0
+    damaged: int = 0
     stamps: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)
 
@@ -125,7 +127,12 @@ def parse_table(packet: bytes) -> bytes:
 
 
 def demux(media: bytes) -> Stream:
-    """Parse a transport stream; raises on lost sync, damaged tables or broken elementary packets."""
+    """Parse a transport stream; raises on lost sync or damaged tables.
+
+    A packet may be sent twice in a row: the repetition is counted and left out.  Gaps of the continuity
+    counter are counted as lost; an elementary packet that misses bytes is counted as damaged, and
+    neither its bytes nor its stamp are listed.
+    """
     if len(media) % PACKET:
         raise ValueError("not a whole number of transport packets")
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -141,6 +148,11 @@ def demux(media: bytes) -> Stream:
             skip = 4 + (int.from_bytes(body[2:4], "big") & 0x0FFF)
             found.pid = int.from_bytes(body[skip + 1 : skip + 3], "big") & 0x1FFF
     own, start = packets[pids == found.pid], starts[pids == found.pid]
+    if len(own) > 1:
+        again = np.concatenate(([False], (own[1:] == own[:-1]).all(axis=1) & (own[1:, 3] & 0x10 != 0)))
+        again[1:] &= ~again[:-1]
+        found.repeated = int(again.sum())
+        own, start = own[~again], start[~again]
     control = own[:, 3]
     has_payload = control & 0x10 != 0
     counters = (control & 15).astype(np.int16)
@@ -162,7 +174,8 @@ def demux(media: bytes) -> Stream:
         pes = b"".join(parts)
         size = int.from_bytes(pes[4:6], "big")
         if pes[:3] != b"\x00\x00\x01" or len(pes) != size + 6:
-            raise ValueError("broken elementary packet")
+            found.damaged += 1
+            continue
         p = pes[9:14]
         pts = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
         if flags[first] & 0x40:
@@ -178,7 +191,7 @@ def describe(stream: Stream) -> str:
     samples = np.frombuffer(stream.payload, np.uint8)
     mean = samples.mean() if len(samples) else 0.0
     first, last = (stream.stamps[0], stream.stamps[-1]) if stream.stamps else (-1, -1)
-    return f"program={stream.program};pid={stream.pid};packets={stream.packets};lost={stream.lost};units={len(stream.stamps)};pts={first}-{last};random_access={len(stream.random_access)};mean={mean:.4f}"
+    return f"program={stream.program};pid={stream.pid};packets={stream.packets};lost={stream.lost};repeated={stream.repeated};damaged={stream.damaged};units={len(stream.stamps)};pts={first}-{last};random_access={len(stream.random_access)};mean={mean:.4f}"
 
 
 def to_media(df: DataFrame, payload: str = "payload", out: str = "media") -> DataFrame:
@@ -191,37 +204,56 @@ def to_media(df: DataFrame, payload: str = "payload", out: str = "media") -> Dat
     return df.withColumn(out, muxed(F.col(payload)))
 
 
+PARSED = "payload binary, program int, pid int, packets int, lost int, repeated int, damaged int, pts array<long>, random_access array<int>"
+
+
 def from_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """Add payload, time stamps and random-access points read from a transport-stream column (null stays null)."""
+    """Add what demux reads from a transport-stream column: payload, losses, time stamps, random-access points (null stays null)."""
 
-    @F.pandas_udf("payload binary, program int, pid int, packets int, lost int, pts array<long>, random_access array<int>")
+    @F.pandas_udf(PARSED)
     def parsed(values):
         import pandas as pd
 
         found = [None if v is None else demux(bytes(v)) for v in values]
-        return pd.DataFrame([[None] * 7 if s is None else [s.payload, s.program, s.pid, s.packets, s.lost, s.stamps, s.random_access] for s in found], columns=["payload", "program", "pid", "packets", "lost", "pts", "random_access"])
+        rows = [[None] * 9 if s is None else [s.payload, s.program, s.pid, s.packets, s.lost, s.repeated, s.damaged, s.stamps, s.random_access] for s in found]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
     return df.withColumn("_stream", parsed(F.col(media))).select("*", "_stream.*").drop("_stream")
 
 
-def store_and_probe(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store each whole text as a transport stream, read the stored bytes back, and describe them.
+def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media): every whole text as a transport stream, padded as pad does."""
 
-    Null texts count as empty, a null key stays null, repeated rows give repeated results, other
-    columns are ignored.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in slices(batch, 1)):
+            data = [(value.as_py() or "").encode() for value in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, data), pa.int64()), pa.array([mux(pad(d)) for d in data], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
+
+
+def probe(stored: DataFrame) -> DataFrame:
+    """Digests and features of the media column of store, parsed from its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, 2)):
             rows = []
-            for value in batch.column(1):
-                data = (value.as_py() or "").encode()
-                media = mux(pad(data))
+            for value in part.column(2):
+                media = value.as_py()
                 stream = demux(media)
                 payload = stream.payload
-                rows.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(stream)))
-            if rows:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in PROBED.split(", ")])
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(stream)))
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in PROBED.split(", ")])
+
+    return stored.mapInArrow(lean(run), PROBED)
+
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), PROBED)
+def store_and_probe(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Store each whole text as a transport stream in a table, read the stored bytes back, and describe them.
+
+    Null texts count as empty, a null key stays null, repeated rows give repeated results, other
+    columns are ignored, an empty table gives no rows.  A task holds one slice of bounded bytes, or
+    one text where it is longer than that.
+    """
+    return probe(written(store(df, key, text), "media", compression="zstd"))

@@ -36,21 +36,6 @@ def test_bpe_equals_tiktoken():
         assert own.decode(own.encode(text)) == text.encode()
 
 
-def test_transport_stream_round_trip():
-    from emberline.llm.mpegts import demux, mux, pad
-
-    r = random.Random(5)
-    for n in [0, 1, 575, 576, 577, 57_600, 57_601, 200_000] + [r.randint(0, 3000) for _ in range(100)]:
-        payload = pad(r.randbytes(n))
-        stream = demux(mux(payload))
-        assert stream.payload == payload and stream.lost == 0 and len(stream.random_access) == len(stream.stamps)
-        assert len(payload) % 576 == 0 and payload
-    media = mux(pad(b"x" * 5000))
-    assert demux(media[: 188 * 4] + media[188 * 5 :][:0] + media[188 * 4 :]).lost == 0
-    with pytest.raises(ValueError):
-        demux(media[:188] + b"\0" + media[189:])
-
-
 def test_every_text_operator_takes_hard_rows(spark, docs, empty):
     from emberline.llm.bpe import token_digests
     from emberline.llm.mpegts import store_and_probe
@@ -100,16 +85,6 @@ def test_warc_round_trip(spark):
     assert [x[1:3] for x in coalesced([("a", 0, 5), ("a", 5, 5), ("a", 99, 1), ("b", 0, 2)], 10, 100)] == [(0, 10), (99, 100), (0, 2)]
 
 
-def test_main_text():
-    from emberline.llm.html import main_text, parse
-
-    page = """<html><head><title>t</title></head><body><header>H</header><nav>n</nav><div class="cookie-notice">c</div>
-    <article><h1>Head &amp; more</h1><p>one<br>two <b>three</b><p>four<div class="ad">buy</div><form>f</form><ul><li>x<li>y</ul>
-    <section id="comments"><p>c1</p></section></article><aside>s</aside><footer>f</footer><script>var a="<p>";</script></body></html>"""
-    assert main_text(parse(page)) == "Head & more\n\none two three\n\nfour\n\nx\n\ny"
-    assert main_text(parse("")) == ""
-
-
 def test_nearest_equals_brute_force_with_copies_and_bad_vectors(spark):
     from emberline.llm.neighbours import nearest
 
