@@ -4,7 +4,7 @@ Equal vectors are folded into one node.  The graph starts from brute force withi
 random-hyperplane buckets; each round then joins every node with its neighbours (both ways), compares
 these with each other where one of the two is new, and keeps each node's best, until few edges change.
 A query walks the graph: in each round its best candidates not yet visited bring their neighbours,
-until none of its best is left unvisited.  All scores are in double precision on the original
+until none of its best is left unvisited and looking at twice as many changes few answers.  All scores are in double precision on the original
 vectors, as near copies differ by less than coarser numbers can tell.
 """
 
@@ -23,13 +23,15 @@ from .common import written
 EDGES = "v long, u long, score double"
 
 
-def _matrix(column: pa.Array, kind: str) -> np.ndarray:
-    """Rows of a binary column as a matrix; all rows are equally long."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a binary column as doubles; the first byte of each names its number type, all are equally long."""
+    rows = column.to_pylist()
+    flat = np.frombuffer(b"".join(r[1:] for r in rows), rows[0][:1].decode())
+    return flat.astype(np.float64).reshape(len(rows), -1)
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    rows = _matrix(column, np.float64)
+    rows = _matrix(column)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
@@ -41,16 +43,19 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double") + 0.0).alias("vec"))
 
 
-def nodes(rows: DataFrame) -> DataFrame:
-    """(node, vec): one node per distinct vector, named by its least id; shorter vectors are padded with zeros."""
+def nodes(rows: DataFrame, kind: str = "d") -> DataFrame:
+    """(node, vec): one node per distinct vector, named by its least id; shorter vectors are padded with zeros.
+
+    kind is the number type in which vectors travel: "f" loses nothing if the components came as floats.
+    """
     width = rows.agg(F.max(F.size("vec"))).first()[0] or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            full = np.zeros((len(batch), width))
+            full = np.zeros((len(batch), width), kind)
             for row, value in zip(full, batch.column(1).to_pylist(), strict=True):
                 row[: len(value)] = value
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in full], pa.binary())], names=["node", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kind.encode() + r.tobytes() for r in full], pa.binary())], names=["node", "vec"])
 
     return rows.groupBy("vec").agg(F.min("id").alias("node")).select("node", "vec").mapInArrow(run, "node long, vec binary")
 
@@ -150,7 +155,7 @@ def improve(graph: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return _best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k)
 
 
-def build_graph(points: DataFrame, k: int = 24, tables: int = 6, block: int = 400, settled: float = 0.001, seed: int = 11) -> DataFrame:
+def build_graph(points: DataFrame, k: int = 24, tables: int = 6, block: int = 400, settled: float = 0.01, seed: int = 11) -> DataFrame:
     """(v, u, score, fresh): an approximate graph of each node's k nearest nodes; every round is a written table.
 
     Rounds end when at most this share of the edges is new.
@@ -170,26 +175,37 @@ def _scores(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            a, b = (_matrix(batch.column(c), np.float64) for c in (2, 3))
+            a, b = (_matrix(batch.column(c)) for c in (2, 3))
             score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["q", "c", "score"])
 
     return pairs.mapInArrow(run, "q long, c long, score double")
 
 
-def greedy_search(asked: DataFrame, points: DataFrame, graph: DataFrame, beam: int = 96, step: int = 32, k: int = 24) -> DataFrame:
-    """(q, c, score): each asked node's best candidates after a walk over the graph that has visited them all."""
+def greedy_search(asked: DataFrame, points: DataFrame, graph: DataFrame, wanted: int, beam: int = 96, k: int = 24, unsettled: float = 0.25) -> DataFrame:
+    """(q, c, score): each asked node's best candidates after a walk over the graph.
+
+    In each step a third of a query's `beam` best candidates, those not yet visited first, bring their
+    neighbours, until all of the beam have been visited.  Then the beam is doubled, until that changes
+    the `wanted` best of at most this share of the queries: so the effort follows the data and its size.
+    """
     around = written(both_ways(graph, k), "adjacency")
     own = asked.join(points, asked.q == points.node).select("q", F.col("vec").alias("own"))
     near = around.select(F.col("v").alias("q"), F.col("u").alias("c"), "score").join(asked, "q", "left_semi")
-    state = near.withColumn("open", F.lit(True))
+    state, before = near.withColumn("open", F.lit(True)), None
     order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     while True:
-        state = state.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= beam)
+        state = state.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * beam)
         turn = F.sum(F.col("open").cast("int")).over(order)
-        state = written(state.withColumn("go", F.col("open") & (turn <= step)).drop("_place"), "beam")
+        state = written(state.withColumn("go", F.col("open") & (F.col("place") <= beam) & (turn <= beam // 3)), "beam")
         if state.filter("go").isEmpty():
-            return state.select("q", "c", "score")
+            best = state.filter(F.col("place") <= wanted).groupBy("q").agg(F.sum("score").alias("sum"))
+            if before is not None:
+                queries, changed = best.join(before.withColumnRenamed("sum", "was"), "q").agg(F.count("*"), F.count_if(F.col("sum") > F.col("was") + 1e-12)).first()
+                if changed <= unsettled * queries:
+                    return state.select("q", "c", "score")
+            before, beam = written(best, "best"), 2 * beam
+            continue
         reached = state.filter("go").join(around.select("v", "u"), F.col("c") == F.col("v")).select("q", F.col("u").alias("c")).distinct()
         fresh = reached.filter("q <> c").join(state.select("q", "c"), ["q", "c"], "left_anti")
         pairs = fresh.join(points.select(F.col("node").alias("c"), F.col("vec").alias("other")), "c").join(own, "q").select("q", "c", "own", "other")
@@ -206,13 +222,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
     repeated rows of a key stand as candidates once.
     """
     rows = written(usable(vectors, key, vector), "vectors")
-    points = written(nodes(rows), "nodes")
+    single = vectors.schema[vector].dataType.elementType.typeName() == "float"
+    points = written(nodes(rows, "f" if single else "d"), "nodes")
     graph = build_graph(points, **options)
     named = rows.groupBy("vec").agg(F.min("id").alias("node"))
     owner = written(rows.join(named, "vec").select("id", "node").distinct(), "owners")
     queries = owner.filter(F.col("id") % every == 0)
     asked = queries.select(F.col("node").alias("q")).distinct()
-    found = greedy_search(asked, points, graph)
+    found = greedy_search(asked, points, graph, k + 1)
     best = found.select("q", "c").union(asked.select("q", F.col("q").alias("c")))
     pairs = best.join(points.select(F.col("node").alias("c"), F.col("vec").alias("other")), "c").join(points.select(F.col("node").alias("q"), F.col("vec").alias("own")), "q")
     exact = _scores(pairs.select("q", "c", "own", "other"))

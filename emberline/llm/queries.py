@@ -78,4 +78,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op9_language": op9_language, "op3_neighbours": op3_neighbours, "op4_mpegts": op4_mpegts, "op5_packing": op5_packing, "op6_main_text": op6_main_text, "op7_passages": op7_passages, "op8_warc": op8_warc, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators hold fingerprints, models, searches or token ids, which SQL cannot express.
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h FROM p),
+n AS (SELECT h, max(page_id) AS newest FROM d GROUP BY h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast((cast('0x' || substr(h, 1 + 5 * (i // 4), 5) AS bigint) >> (15 - 5 * (i % 4))) & 31 AS integer) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM d JOIN n USING (h)"""
+}
