@@ -4,7 +4,7 @@ Equal vectors are folded into one node.  The graph starts from brute force withi
 random-hyperplane buckets; each round then joins every node with its neighbours (both ways), compares
 these with each other where one of the two is new, and keeps each node's best, until few edges change.
 A query walks the graph: in each round its best candidates not yet visited bring their neighbours,
-until none of its best is left unvisited and looking at twice as many changes few answers.  All scores are in double precision on the original
+until none of its best is left unvisited; how many are its best grows with the logarithm of the table.  All scores are in double precision on the original
 vectors, as near copies differ by less than coarser numbers can tell.
 """
 
@@ -182,30 +182,24 @@ def _scores(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "q long, c long, score double")
 
 
-def greedy_search(asked: DataFrame, points: DataFrame, graph: DataFrame, wanted: int, beam: int = 96, k: int = 24, unsettled: float = 0.25) -> DataFrame:
-    """(q, c, score): each asked node's best candidates after a walk over the graph.
+def greedy_search(asked: DataFrame, points: DataFrame, graph: DataFrame, count: int, breadth: int = 32, k: int = 24) -> DataFrame:
+    """(q, c, score): each asked node's best candidates after a walk over the graph of `count` nodes.
 
-    In each step a third of a query's `beam` best candidates, those not yet visited first, bring their
-    neighbours, until all of the beam have been visited.  Then the beam is doubled, until that changes
-    the `wanted` best of at most this share of the queries: so the effort follows the data and its size.
+    The beam holds breadth candidates for each doubling of the node count, as paths grow so.  In each
+    step up to a third of it, those not yet visited first, bring their neighbours, until all of it have been visited.
     """
+    beam = breadth * max(1, math.ceil(math.log2(max(2, count))))
     around = written(both_ways(graph, k), "adjacency")
     own = asked.join(points, asked.q == points.node).select("q", F.col("vec").alias("own"))
     near = around.select(F.col("v").alias("q"), F.col("u").alias("c"), "score").join(asked, "q", "left_semi")
-    state, before = near.withColumn("open", F.lit(True)), None
+    state = near.withColumn("open", F.lit(True))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     while True:
-        state = state.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * beam)
+        state = state.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= beam)
         turn = F.sum(F.col("open").cast("int")).over(order)
-        state = written(state.withColumn("go", F.col("open") & (F.col("place") <= beam) & (turn <= beam // 3)), "beam")
+        state = written(state.withColumn("go", F.col("open") & (turn <= beam // 3)).drop("_place"), "beam")
         if state.filter("go").isEmpty():
-            best = state.filter(F.col("place") <= wanted).groupBy("q").agg(F.sum("score").alias("sum"))
-            if before is not None:
-                queries, changed = best.join(before.withColumnRenamed("sum", "was"), "q").agg(F.count("*"), F.count_if(F.col("sum") > F.col("was") + 1e-12)).first()
-                if changed <= unsettled * queries:
-                    return state.select("q", "c", "score")
-            before, beam = written(best, "best"), 2 * beam
-            continue
+            return state.select("q", "c", "score")
         reached = state.filter("go").join(around.select("v", "u"), F.col("c") == F.col("v")).select("q", F.col("u").alias("c")).distinct()
         fresh = reached.filter("q <> c").join(state.select("q", "c"), ["q", "c"], "left_anti")
         pairs = fresh.join(points.select(F.col("node").alias("c"), F.col("vec").alias("other")), "c").join(own, "q").select("q", "c", "own", "other")
@@ -229,7 +223,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
     owner = written(rows.join(named, "vec").select("id", "node").distinct(), "owners")
     queries = owner.filter(F.col("id") % every == 0)
     asked = queries.select(F.col("node").alias("q")).distinct()
-    found = greedy_search(asked, points, graph, k + 1)
+    found = greedy_search(asked, points, graph, points.count())
     best = found.select("q", "c").union(asked.select("q", F.col("q").alias("c")))
     pairs = best.join(points.select(F.col("node").alias("c"), F.col("vec").alias("other")), "c").join(points.select(F.col("node").alias("q"), F.col("vec").alias("own")), "q")
     exact = _scores(pairs.select("q", "c", "own", "other"))
