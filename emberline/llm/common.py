@@ -14,7 +14,7 @@ FOLDS, HELD_OUT = 4, 2
 
 
 #: Rows and bytes in one Arrow batch; whole texts can be long, and two tasks share an executor's memory.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 250, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
