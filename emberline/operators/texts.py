@@ -9,8 +9,8 @@ DOT = "<<dot:<<dvec:{a}>>, <<dvec:{b}>>>>"
 
 for name, row, text in [
     ("tokenize", "I3", f"WITH {TOK} SELECT doc_id, cast(<<size:toks>> AS bigint) AS n, cast(<<size:<<distinct:toks>>>> AS bigint) AS n_distinct FROM t"),
-    ("term_stats", "D16", f"WITH {TERMS} SELECT term, df, sources, first_doc FROM st WHERE df >= 2"),
-    ("idf", "I34", f"WITH {TERMS} SELECT term, round(ln((total + 1e0) / (df + 1e0)) + 1, 6) AS idf FROM st CROSS JOIN n WHERE df >= 3"),
+    ("term_stats", "D16", f"WITH {TERMS} SELECT term, df, sources, first_doc FROM st"),
+    ("idf", "I34", f"WITH {TERMS} SELECT term, round(ln((total + 1e0) / (df + 1e0)) + 1, 6) AS idf FROM st CROSS JOIN n"),
     ("anchor_terms", "D17, I35-I37", f"WITH {TERMS}, c AS (SELECT source, term, count(*) AS hits FROM d GROUP BY source, term HAVING count(*) >= 2), z AS (SELECT source, count(*) AS docs FROM documents GROUP BY source), s AS (SELECT c.source, c.term, (c.hits * 1e0 / z.docs) / ((st.df + .5e0) / (n.total + .5e0)) AS lift, ln((n.total + 1e0) / (st.df + 1e0)) + 1 AS idf FROM c JOIN z ON c.source = z.source JOIN st ON c.term = st.term CROSS JOIN n WHERE st.df * 1e0 / n.total <= .10e0), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(ln(1 + lift) * idf, 6) DESC, term) AS k FROM s) SELECT source, term, round(ln(1 + lift) * idf, 5) AS score FROM r WHERE k <= 3"),
     ("keyword_weights", "D41", f"WITH {TERMS} SELECT source, term, round(sum(power(.5e0, doc_id / 450e0)), 6) AS weight FROM d GROUP BY source, term HAVING count(*) >= 3"),
     ("jaccard_brief", "I5, C18", f"WITH {TOK}, {BTOK}, dt AS (SELECT doc_id, <<explode:<<distinct:toks>>>> AS term FROM t), bt AS (SELECT item_id, <<explode:toks>> AS term FROM b), o AS (SELECT dt.doc_id, bt.item_id, count(*) AS overlap FROM dt JOIN bt ON dt.term = bt.term GROUP BY 1, 2) SELECT o.doc_id, o.item_id, round(overlap * 1e0 / least(<<size:b.toks>>, <<size:<<distinct:t.toks>>>>), 6) AS containment FROM o JOIN b ON o.item_id = b.item_id JOIN t ON o.doc_id = t.doc_id WHERE overlap * 1e0 / least(<<size:b.toks>>, <<size:<<distinct:t.toks>>>>) >= .92e0"),
@@ -23,7 +23,7 @@ for name, row, text in [
     ("sparkline", "E5", "SELECT source, count(*) AS n, round(avg(n_chars), 4) AS mean FROM documents GROUP BY source"),
     ("html_extract", "A19", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'html lang=\"([a-z]+)\"', 1) AS lang, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM pages"),
     ("quote_grounding", "I20", "SELECT b.item_id, count(d.doc_id) AS carriers FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id"),
-    ("entity_resolve", "D33", f"WITH {TERMS} SELECT term, first_doc, sources, sources >= 2 AS corroborated FROM st WHERE df >= 2"),
+    ("entity_resolve", "D33", f"WITH {TERMS} SELECT term, first_doc, sources, sources >= 2 AS corroborated FROM st"),
     ("centroid", "I53", "WITH x AS (SELECT label, <<explode:embedding>> AS v, vec_id FROM embeddings) SELECT label, count(*) AS n, round(sum(cast(v AS double) * v), 4) AS norm2 FROM x GROUP BY label"),
     ("cosine", "I52", f"SELECT a.vec_id AS a, b.vec_id AS b, round({DOT.format(a='a.embedding', b='b.embedding')}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0"),
     ("vector_assign", "C14", f"WITH h AS (SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label), q AS (SELECT e.* FROM embeddings e JOIN h ON e.vec_id = h.vec_id), r AS (SELECT e.vec_id, q.vec_id AS head, {DOT.format(a='e.embedding', b='q.embedding')} AS s FROM embeddings e CROSS JOIN q WHERE e.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 6) DESC, head) AS place FROM r WHERE s >= .2e0) SELECT vec_id, head, round(s, 4) AS score FROM k WHERE place = 1"),

@@ -80,7 +80,7 @@ for name, row, text in [
     ("spearman", "E11", f"WITH e AS ({TOPIC_EVENTS}), v AS (SELECT channel, count(*) AS n, sum(value) AS s FROM e GROUP BY channel), r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2e0 AS a, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2e0 AS b FROM v) SELECT round(CASE WHEN count(*) >= 3 THEN corr(a, b) END, 6) AS rho, count(*) AS n FROM r"),
     ("evidence_roles", "E14", f"WITH e AS ({TOPIC_EVENTS}), r AS (SELECT topic, event_id, row_number() OVER (PARTITION BY topic ORDER BY value DESC, event_id) AS k FROM e) SELECT topic, event_id, CASE WHEN k <= 2 THEN 'driver' WHEN k <= 5 THEN 'amplifier' ELSE 'supporting' END AS role FROM r"),
     ("lifecycle_transitions", "E16", f"WITH e AS ({TOPIC_EVENTS}), l AS (SELECT channel, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY channel ORDER BY ts, event_id) AS before FROM e) SELECT channel, event_id, before, event_type FROM l WHERE before IS NULL OR before <> event_type"),
-    ("hash_order", "F3", f"WITH e AS ({TOPIC_EVENTS}), t AS (SELECT DISTINCT topic FROM e) SELECT topic, <<sha:'2024-01-24|' || topic>> AS place FROM t ORDER BY place, topic LIMIT 25"),
+    ("hash_order", "F3", f"WITH e AS ({TOPIC_EVENTS}), t AS (SELECT DISTINCT topic FROM e) SELECT topic, <<sha:'2024-01-24|' || topic>> AS place FROM t"),
     ("coalesce_best", "G6", f"WITH e AS ({TOPIC_EVENTS}), r AS (SELECT topic, channel, event_id, value, row_number() OVER (PARTITION BY topic, channel ORDER BY value DESC, ts, event_id) AS k FROM e) SELECT topic, channel, event_id FROM r WHERE k = 1"),
     ("upsert_observation", "G11, K6", f"WITH e AS ({TOPIC_EVENTS}) SELECT topic, channel, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS observations FROM e GROUP BY topic, channel"),
     ("new_channels", "G2", f"WITH e AS ({TOPIC_EVENTS}) SELECT DISTINCT a.topic, a.channel FROM e a LEFT ANTI JOIN (SELECT topic, channel FROM e WHERE ts < {AS_OF} - INTERVAL 7 DAY) b ON a.topic = b.topic AND a.channel = b.channel WHERE a.ts >= {AS_OF} - INTERVAL 7 DAY".replace("LEFT ANTI JOIN", "<<anti:JOIN>>")),

@@ -5,11 +5,17 @@ from emberline.sources.roles import OBSERVATIONS, PANEL, UPLOADS_AS_OF, VIDEOS
 
 T = UPLOADS_AS_OF
 V, O, P = f"v AS ({VIDEOS})", f"o AS ({OBSERVATIONS})", f"p AS ({PANEL})"
-#: Every observation with the median of its age-day, and each video's projection to seven days.
-CURVE = f"""{V}, {O}, b AS (SELECT floor(age_days) AS d, median(views) AS level, count(*) AS n FROM o GROUP BY 1 HAVING count(*) >= 20),
-ref AS (SELECT coalesce(max(CASE WHEN d = 7 THEN level END), median(level)) AS level FROM b),
-near AS (SELECT video_id, views, age_days, row_number() OVER (PARTITION BY video_id ORDER BY abs(age_days - 7), age_days, line, views) AS k FROM o),
-rv AS (SELECT near.video_id, near.views / greatest(b.level / ref.level, 1e-9) AS ref_views FROM near JOIN b ON floor(near.age_days) = b.d CROSS JOIN ref WHERE k = 1),
+#: Fixed values of the demand rule: ages that count, and the age that videos are projected to, in days.
+YOUNGEST, OLDEST, REFERENCE_AGE = "0.5e0", "60e0", 7
+#: Observations up to the checkpoint and of an age that counts, the median of each age-day, and each
+#: video's projection to seven days; age-days without a curve (under 20 observations) have factor 1.
+CURVE = f"""{V}, o0 AS ({OBSERVATIONS}), o AS (SELECT o0.* FROM o0 JOIN v ON o0.video_id = v.video_id
+  WHERE <<secs:v.published_at>> + o0.age_days * 86400e0 <= <<secs:{T}>> AND o0.age_days BETWEEN {YOUNGEST} AND {OLDEST}),
+b AS (SELECT floor(age_days) AS d, median(views) AS level, count(*) AS n FROM o GROUP BY 1 HAVING count(*) >= 20),
+ref AS (SELECT coalesce(nullif(max(CASE WHEN d = {REFERENCE_AGE} THEN level END), 0), median(level)) AS level FROM b),
+near AS (SELECT video_id, views, age_days, row_number() OVER (PARTITION BY video_id ORDER BY abs(age_days - {REFERENCE_AGE}), line, age_days, views) AS k FROM o),
+rv AS (SELECT near.video_id, greatest(near.views / coalesce(CASE WHEN b.level > 0 AND ref.level > 0 THEN b.level / ref.level END, 1e0), 0e0) AS ref_views
+  FROM near CROSS JOIN ref LEFT JOIN b ON floor(near.age_days) = b.d WHERE k = 1),
 base AS (SELECT v.channel_id, median(rv.ref_views) AS baseline, count(*) AS n FROM rv JOIN v ON rv.video_id = v.video_id GROUP BY v.channel_id HAVING count(*) >= 3 AND median(rv.ref_views) > 0)"""
 CHECKPOINTS = "cp AS (SELECT TIMESTAMP '1999-01-03 00:00:00' + <<days:k * 7>> AS t FROM (SELECT <<explode:<<seq:0, 20>>>> AS k))"
 WEEKLY = f"{V}, {CHECKPOINTS}, st AS (SELECT cp.t, v.topic, count(*) FILTER (WHERE v.published_at > cp.t - INTERVAL 7 DAY) AS n7, count(*) AS n35, count(DISTINCT v.channel_id) AS channels FROM cp JOIN v ON v.published_at <= cp.t AND v.published_at > cp.t - INTERVAL 35 DAY AND v.discovered_at <= cp.t GROUP BY cp.t, v.topic)"
@@ -22,7 +28,14 @@ for name, row, text in [
     ("channel_evidence", "D32", f"WITH {V}, {P} SELECT p.channel_id, count(v.video_id) AS uploads_90d, max(v.published_at) AS last_upload FROM p LEFT JOIN v ON p.channel_id = v.channel_id AND v.published_at <= {T} AND v.published_at > {T} - INTERVAL 90 DAY GROUP BY p.channel_id"),
     ("panel_reconcile", "B14", f"WITH {V}, {P}, e AS (SELECT p.channel_id, count(v.video_id) AS uploads, max(v.published_at) AS last_upload, coalesce(avg(CASE WHEN v.topic IN ('1-URGENT', '2-HIGH') THEN 1e0 ELSE 0e0 END), 0e0) AS niche FROM p LEFT JOIN v ON p.channel_id = v.channel_id AND v.published_at <= {T} GROUP BY p.channel_id) SELECT channel_id, CASE WHEN last_upload IS NULL OR last_upload < {T} - INTERVAL 120 DAY THEN 'dormant' WHEN niche < .30e0 THEN 'off_niche' WHEN niche >= .50e0 AND uploads >= 3 THEN 'admit' ELSE 'keep' END AS verdict FROM e"),
     ("panel_apply", "G12", f"WITH {P}, {V}, c AS (SELECT channel_id, max(published_at) AS last_upload FROM v WHERE published_at <= {T} GROUP BY channel_id) SELECT p.channel_id, p.joined_at, CASE WHEN p.left_at IS NOT NULL THEN p.left_at WHEN c.last_upload < {T} - INTERVAL 120 DAY THEN {T} END AS left_at FROM p LEFT JOIN c ON p.channel_id = c.channel_id"),
-    ("crawl_plan", "F6", f"WITH {V}, {P}, l AS (SELECT p.channel_id, max(v.published_at) AS polled FROM p LEFT JOIN v ON p.channel_id = v.channel_id AND v.published_at <= {T} GROUP BY p.channel_id) SELECT channel_id, polled FROM l ORDER BY CASE WHEN channel_id % 50 = 0 THEN 0 ELSE 1 END, polled NULLS FIRST, channel_id LIMIT 800"),
+    (
+        "crawl_plan",
+        "F6",
+        f"""WITH {V}, {P}, l AS (SELECT p.channel_id, max(v.published_at) AS polled FROM p LEFT JOIN v ON p.channel_id = v.channel_id AND v.published_at <= {T}
+  WHERE p.joined_at <= {T} AND (p.left_at IS NULL OR p.left_at > {T}) GROUP BY p.channel_id)
+SELECT channel_id, polled FROM l WHERE polled IS NULL OR polled <= {T} - INTERVAL 20 HOUR
+ORDER BY CASE WHEN channel_id % 50 = 0 THEN 0 ELSE 1 END, polled NULLS FIRST, channel_id LIMIT 8000""",
+    ),
     ("join_multi", "C1", "SELECT n.n_name AS nation, p.p_brand AS brand, count(*) AS n, round(sum(l.l_extendedprice), 2) AS total FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey GROUP BY n.n_name, p.p_brand"),
     ("left_join_agg", "C2", f"WITH {V}, {O} SELECT v.video_id, count(o.line) AS observations, coalesce(max(o.views), 0e0) AS best FROM v LEFT JOIN o ON v.video_id = o.video_id GROUP BY v.video_id"),
     ("left_join_temporal", "C3", f"WITH {V}, {O} SELECT v.video_id, o.line FROM v LEFT JOIN o ON v.video_id = o.video_id WHERE o.video_id IS NULL OR v.published_at + <<days:floor(o.age_days)>> <= {T}"),
@@ -59,7 +72,13 @@ for name, row, text in [
     ("multi_ranking", "F2", f"WITH {WEEKLY}, u AS (SELECT t, topic, 'supply' AS method, n7 AS value FROM st UNION ALL SELECT t, topic, 'breadth', channels FROM st UNION ALL SELECT t, topic, 'volume', n35 FROM st) SELECT t, method, topic, cast(row_number() OVER (PARTITION BY t, method ORDER BY value DESC, topic) AS bigint) AS place FROM u"),
     ("ranking_comparison", "D35", f"WITH {WEEKLY}, u AS (SELECT t, topic, n7 * 5 > n35 AS fired, row_number() OVER (PARTITION BY t ORDER BY n35 DESC, topic) AS k FROM st) SELECT count(*) FILTER (WHERE k <= 2 AND fired) AS hits, round(count(*) FILTER (WHERE k <= 2 AND fired) * 1e0 / count(*) FILTER (WHERE k <= 2), 6) AS precision_at_2 FROM u"),
     ("temporal_split", "E17", f"WITH {WEEKLY}, d AS (SELECT t, dense_rank() OVER (ORDER BY t) AS k FROM (SELECT DISTINCT t FROM st)), m AS (SELECT max(k) AS n FROM d) SELECT d.t, CASE WHEN d.k <= ceil(m.n * .7e0) THEN 'fit' ELSE 'calibrate' END AS part FROM d CROSS JOIN m"),
-    ("purged_splits", "E18", f"WITH {WEEKLY}, r AS (SELECT t, topic, row_number() OVER (ORDER BY t, topic) - 1 AS i, floor(count(*) OVER () / 4e0) AS block FROM st), w AS (SELECT floor(i / block) AS fold, min(t) AS start FROM r WHERE i >= block AND i < 4 * block GROUP BY 1) SELECT cast(w.fold AS bigint) AS fold, count(*) AS train FROM w JOIN r ON r.i < w.fold * r.block AND r.t + INTERVAL 42 DAY <= w.start GROUP BY w.fold"),
+    (
+        "purged_splits",
+        "E18",
+        f"""WITH {WEEKLY}, r AS (SELECT t, topic, row_number() OVER (ORDER BY t, topic) - 1 AS i, floor(count(*) OVER () / 5e0) AS block FROM st),
+w AS (SELECT floor(i / block) AS fold, min(t) AS start, count(*) AS validation FROM r WHERE block >= 1 AND i >= block AND i < 5 * block GROUP BY 1)
+SELECT cast(w.fold AS bigint) AS fold, count(*) AS train, max(w.validation) AS validation FROM w JOIN r ON r.i < w.fold * r.block AND r.t + INTERVAL 42 DAY <= w.start GROUP BY w.fold""",
+    ),
     ("cohort_split", "E19", f"WITH {WEEKLY}, d AS (SELECT t, row_number() OVER (ORDER BY t DESC) AS k FROM (SELECT DISTINCT t FROM st)) SELECT t, CASE WHEN k <= 6 THEN 'holdout' ELSE 'train' END AS part FROM d"),
     ("daily_cutoffs", "H6", f"WITH {V} SELECT <<day:published_at>> AS day, max(published_at) AS cutoff, count(*) AS n FROM v GROUP BY 1"),
     ("cross_market_states", "J15", f"WITH {V} SELECT v.topic, n.n_regionkey AS region, count(*) AS n, count(DISTINCT n.n_nationkey) AS countries, count(DISTINCT v.channel_id) AS channels FROM v JOIN customer c ON v.channel_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE v.published_at <= {T} AND v.published_at > {T} - INTERVAL 35 DAY GROUP BY v.topic, n.n_regionkey"),
