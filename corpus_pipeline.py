@@ -61,7 +61,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", packing)]
-#: Profiles, language models and tokens cannot be expressed in SQL; tests compare with brute force.
+#: Profiles, language models and tokens cannot be expressed in SQL; the operators' own tests compare with brute force.
 ORACLE_SQL = None
 
 
