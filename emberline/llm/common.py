@@ -115,6 +115,21 @@ def slices(batch, column: int, most_bytes: int = 2 << 20):
         at = to
 
 
+def gathered(batches, column: int, least_bytes: int = 4 << 20):
+    """Neighbouring batches joined until the texts of this column have at least so many bytes together."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= least_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod FOLDS; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS

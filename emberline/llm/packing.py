@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, lean, slices
+from .common import Remembered, gathered, lean, slices
 
 #: Attention cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -192,8 +192,8 @@ def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, block_
             types = [pa.int64()] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in batches:
-            for part in slices(batch, 1):
+        for batch in gathered(batches, 1):
+            for part in slices(batch, 1, 4 << 20):
                 ids, sizes = encoder.encode(pc.fill_null(part.column(1), ""))
                 for doc_id, own in zip(part.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
                     own = np.append(own, np.uint32(end_id)).astype("<u4", copy=False)
