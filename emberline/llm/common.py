@@ -141,11 +141,38 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
 
 
 def bounded(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """The side of a join with a broadcast hint if its rows, measured as text, hold at most max_bytes; else as it is."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0]
+    """The side of a join with a broadcast hint if its values hold at most max_bytes; else as it is."""
+    sizes = []
+    for name, kind in df.dtypes:
+        held = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(held), F.lit(0)) + 16)
+        elif kind.startswith(("array", "map", "struct")):
+            sizes.append(F.octet_length(F.to_json(F.struct(held))) + 16)
+        else:
+            sizes.append(F.lit(16))
+    size = df.agg(F.sum(sum(sizes[1:], sizes[0]).cast("long"))).first()[0]
     return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 
+#: A key of the large side of a spread join is dealt out over so many tasks.
+SPREAD = 16
+
+
+def spread_join(large: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Join a side whose keys may be hot with one that has few rows a key (how: inner, left or left_semi).
+
+    The small side is broadcast if it is measured to be small; else it is repeated SPREAD times and
+    each large row meets one of the copies, chosen by its column `by`, so a hot key is spread.
+    """
+    side = bounded(small)
+    if side is not small:
+        return large.join(side, keys, how)
+    dealt = large.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
+    copies = small.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return dealt.join(copies, [*keys, "_share"], how).drop("_share")
+
+
 def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows whose key is not among ids (one column); rows with a null key stay."""
     gone = written(ids.toDF("_gone").filter("_gone is not null").distinct(), "gone")
