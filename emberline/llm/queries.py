@@ -152,16 +152,17 @@ r AS (SELECT page_id, host, path, CASE WHEN len(s) <= 9 THEN s ELSE list_append(
     WHEN ends_with(dotted, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM d),
 t AS (SELECT host, shape, count(*) AS n, count(rule) AS l, count(*) FILTER (rule IN ('example.com/en/', 'net/es/', 'net/fr/')) AS b FROM r GROUP BY host, shape),
 z AS (SELECT (coalesce(sum(b), 0) + 1e0) / (coalesce(sum(l), 0) + 2) AS share FROM t),
-e AS (SELECT *, array_to_string(shape[1:i], '/') AS above, shape[i + 1] AS branch, coalesce(shape[i + 2], '/') AS below FROM (SELECT *, unnest(range(1, len(shape))) AS i FROM t)),
+e AS (SELECT *, array_to_string(shape[1:i], '/') AS above, shape[i + 1] AS branch, CASE WHEN shape[i + 2] IS NULL THEN '/' ELSE concat(CASE WHEN contains(shape[i + 2], '{n}') THEN shape[i + 2] ELSE 'w' END, '/', len(shape) - i) END AS below FROM (SELECT *, unnest(range(1, len(shape))) AS i FROM t)),
 g AS (SELECT host, i, above, branch, below, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM e GROUP BY ALL),
 k AS (SELECT host, i, above, branch, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM g GROUP BY ALL),
 w AS (SELECT host, i, above, below, sum(n) AS m FROM g GROUP BY ALL),
 o AS (SELECT host, i, above, count(*) AS kids, sum(n) AS an, sum(l) AS al, sum(b) AS ab FROM k GROUP BY ALL),
 f AS (SELECT host, i, above, count(*) - 1 AS df FROM w GROUP BY ALL),
 x AS (SELECT host, i, above, branch, sum(n * n / m) AS squares FROM g JOIN w USING (host, i, above, below) GROUP BY ALL),
-v AS (SELECT host, i, above, branch, CASE WHEN kids >= 8 AND n < 4
-    OR kids > 1 AND an * squares / n - n <= df + 3e0 * sqrt(2 * df) AND NOT pow(cast(b AS double) * (al - l) - cast(ab - b AS double) * l, 2) * al > 3.84e0 * l * (al - l) * ab * (al - ab) THEN '*' ELSE branch END AS name
+c AS (SELECT host, i, above, branch, kids >= 8 AND n < 4 AS variable, an * squares / n - n <= df + 3e0 * sqrt(2 * df)
+    AND NOT pow(cast(b AS double) * (al - l) - cast(ab - b AS double) * l, 2) * al > 3.84e0 * l * (al - l) * ab * (al - ab) AS alike
   FROM k JOIN x USING (host, i, above, branch) JOIN o USING (host, i, above) JOIN f USING (host, i, above)),
+v AS (SELECT host, i, above, branch, CASE WHEN variable OR alike AND count(*) FILTER (alike) OVER (PARTITION BY host, i, above) > 1 THEN '*' ELSE branch END AS name FROM c),
 y AS (SELECT host, shape, concat_ws('/', shape[1], string_agg(name, '/' ORDER BY i)) AS template FROM t LEFT JOIN (SELECT host, shape, i, above, branch FROM e) q USING (host, shape)
   LEFT JOIN v USING (host, i, above, branch) GROUP BY host, shape),
 j AS (SELECT host, template, (sum(b) + share * (sum(n) - sum(l) + 2)) / (sum(n) + 2) AS purity FROM y JOIN t USING (host, shape), z GROUP BY host, template, share)

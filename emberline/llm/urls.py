@@ -52,13 +52,14 @@ def templates(counts: DataFrame) -> DataFrame:
     """(host, shape, template) for every distinct shape of counts (host, shape, n, l, b).
 
     At each node of a host's tree a branch is variable if it has under SUPPORT URLs beside at least
-    VARIETY branches.  It is like its siblings if neither the shapes of the next segments (chi-square
-    against all branches) nor the blocked share (against the other branches, where both have labels)
-    tell it apart.  Both become `*`; a node's only branch keeps its name.
+    VARIETY branches.  It is like its siblings if neither what follows (the next segment, words
+    alike, and the number of segments left; chi-square against all branches) nor the blocked share
+    (against the other branches, where both have labels) tells it apart.  Variable branches become `*`, and so do those that are alike if a node has two of them at least.
     """
     here = counts.select("host", "shape", "n", "l", "b", F.posexplode("shape").alias("level", "branch"))
-    prefix, following = F.array_join(F.slice("shape", 1, F.col("level")), "/"), F.coalesce(F.get("shape", F.col("level") + 1), F.lit("/"))
-    steps = written(_counted(here.filter("level > 0").select("host", "level", prefix.alias("above"), "branch", following.alias("below"), "n", "l", "b"), "host", "level", "above", "branch", "below"), "steps")
+    prefix, following = F.array_join(F.slice("shape", 1, F.col("level")), "/"), F.get("shape", F.col("level") + 1)
+    kind = F.when(following.isNull(), "/").otherwise(F.concat(F.when(F.contains(following, F.lit("{n}")), following).otherwise("w"), F.lit("/"), F.size("shape") - F.col("level")))
+    steps = written(_counted(here.filter("level > 0").select("host", "level", prefix.alias("above"), "branch", kind.alias("below"), "n", "l", "b"), "host", "level", "above", "branch", "below"), "steps")
     node = ["host", "level", "above"]
     branches = _counted(steps, *node, "branch")
     below = steps.groupBy(*node, "below").agg(F.sum("n").alias("all_below"))
@@ -71,9 +72,13 @@ def templates(counts: DataFrame) -> DataFrame:
     rest_l, rest_b = F.col("all_l") - F.col("l"), F.col("all_b") - F.col("b")
     apart = F.pow(F.col("b") * rest_l - rest_b * F.col("l").cast("double"), F.lit(2)) * F.col("all_l")
     level_off = apart > Z2 * F.col("l") * rest_l * F.col("all_b").cast("double") * (F.col("all_l") - F.col("all_b"))
-    alike = (F.col("kids") > 1) & (chi <= F.col("df") + CHI * F.sqrt(2 * F.col("df"))) & ~level_off
+    alike = (chi <= F.col("df") + CHI * F.sqrt(2 * F.col("df"))) & ~level_off
     variable = (F.col("kids") >= VARIETY) & (F.col("n") < SUPPORT)
-    named = found.select(*node, "branch", F.when(variable | alike, "*").otherwise(F.col("branch")).alias("name"))
+    judged = found.select(*node, "branch", variable.alias("variable"), alike.alias("alike"))
+    several = judged.filter("alike").groupBy(*node).agg((F.count("*") > 1).alias("several")).filter("several")
+    judged = spread_join(judged, several, node, "branch", "left")
+    wild = F.col("variable") | (F.col("alike") & F.col("several").isNotNull())
+    named = written(judged.select(*node, "branch", F.when(wild, "*").otherwise(F.col("branch")).alias("name")), "names")
     walked = here.select("host", "shape", "level", prefix.alias("above"), "branch").filter("level > 0")
     read = walked.join(named, [*node, "branch"])
     ordered = read.groupBy("host", "shape").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "name"))), lambda s: s["name"]), "/").alias("_tail"))
