@@ -155,21 +155,27 @@ def bounded(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 
-#: A key of the large side of a spread join is dealt out over so many tasks.
-SPREAD = 16
+#: Rows of a key that one task of a spread join takes.
+AT_MOST = 50_000
 
 
 def spread_join(large: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
     """Join a side whose keys may be hot with one that has few rows a key (how: inner, left or left_semi).
 
-    The small side is broadcast if it is measured to be small; else it is repeated SPREAD times and
-    each large row meets one of the copies, chosen by its column `by`, so a hot key is spread.
+    The small side is broadcast if it is measured to be small.  Else the large side's keys are counted;
+    the rows of a key with more than AT_MOST are dealt out by their column `by` and the key's rows on
+    the small side repeated as often.  At most one key for every AT_MOST rows is such a key.  The large
+    side is read twice, so it should be cheap to read.
     """
     side = bounded(small)
     if side is not small:
         return large.join(side, keys, how)
-    dealt = large.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
-    copies = small.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    often = large.groupBy(*keys).count().filter(F.col("count") > AT_MOST)
+    often = bounded(written(often.select(*keys, F.ceil(F.col("count") / AT_MOST).alias("_shares")), "often"))
+    share = F.coalesce(F.pmod(F.xxhash64(by), F.col("_shares")), F.lit(0).cast("bigint"))
+    dealt = large.join(often, keys, "left").withColumn("_share", share).drop("_shares")
+    shares = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_shares"), F.lit(1).cast("bigint")) - 1)
+    copies = small.join(often, keys, "left").withColumn("_share", F.explode(shares)).drop("_shares")
     return dealt.join(copies, [*keys, "_share"], how).drop("_share")
 
 

@@ -21,6 +21,8 @@ from .common import bounded, gathered, lean, spread_join, written
 
 #: Rows of a sketch, cells in a slab, and the most cells in a row: a task holds at most DEPTH * MOST_CELLS bytes.
 DEPTH, SLAB, LEAST_CELLS, MOST_CELLS = 2, 1 << 15, 1 << 17, 1 << 27
+#: Bytes of text that a task reads, so that it adds up many n-grams before they are shuffled, whatever the size of a file split.
+A_TASK = 128 << 20
 #: Bytes of text for each cell of a row (about four rare n-grams) and bytes of text that are worked on at a time.
 BYTES_PER_CELL, AT_ONCE = 32, 4 << 20
 #: Word numbers within one part of a text take 21 bits of a key, so three fit into 63; a part of 4 MB has fewer distinct words.
@@ -159,6 +161,7 @@ def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3) -> DataFra
         raise ValueError("phrases have 1 to 3 words")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text <> ''")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = texts.coalesce(max(size // A_TASK, texts.sparkSession.sparkContext.defaultParallelism))
     width = min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // BYTES_PER_CELL).bit_length()))
     slab = min(SLAB, width)
     heavy = texts.sparkSession.sparkContext.broadcast(heavy_cells(texts, least, longest, width))
@@ -212,7 +215,7 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int
     ends = cuts.select("lang", "phrase", "a", "k", first.alias("_first"), rest.alias("_rest"))
     parts = counts.filter("size >= 1").select("lang", F.col("phrase").alias("_part"), "f")
     for end, name in (("_first", "l"), ("_rest", "r")):
-        ends = spread_join(ends, parts.withColumnsRenamed({"_part": end, "f": name}), ["lang", end], "phrase")
+        ends = written(spread_join(ends, parts.withColumnsRenamed({"_part": end, "f": name}), ["lang", end], "phrase"), "ends")
     score = F.expr("(cast(a AS decimal(38,0)) * cast(a AS decimal(38,0)) * 1000000BD) DIV (cast(l AS decimal(38,0)) * cast(r AS decimal(38,0)))")
     weakest = ends.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("_cut"))
 

@@ -67,14 +67,16 @@ def test_a_template_with_few_labels_is_allowed(spark):
     assert got["http://s.net/es/1"].verdict == "block" and got["http://s.net/en/1"].verdict == "allow"
 
 
-def test_both_ways_of_joining_agree(spark, monkeypatch):
+def test_all_ways_of_joining_agree(spark, monkeypatch):
     from emberline.llm import common
 
     urls = [f"http://h{i % 3}.net/{x}/{i}" for i in range(60) for x in ("es", "en", f"u{chr(97 + i % 26)}")]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
     first = sorted(map(tuple, judge(pages, URL_RULES).collect()))
     monkeypatch.setattr(common, "bounded", lambda df, max_bytes=0: df)
-    assert sorted(map(tuple, judge(pages, URL_RULES).collect())) == first
+    for most in (50_000, 7):
+        monkeypatch.setattr(common, "AT_MOST", most)
+        assert sorted(map(tuple, judge(pages, URL_RULES).collect())) == first
 
 
 def test_empty_table(spark):
