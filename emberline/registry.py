@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple[str, ...] = ("operators.topics", "operators.uploads", "operators.texts", "operators.adoption", "operators.ranker", "operators.families")
+MODULES: tuple[str, ...] = ("operators.topics", "operators.uploads", "operators.texts", "operators.adoption", "operators.ranker", "operators.families", "operators.clusters")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
