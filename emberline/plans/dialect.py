@@ -29,6 +29,9 @@ FRAGMENTS = {
     "from_secs": ("cast(timestamp_seconds({}) as timestamp_ntz)", "make_timestamp(({}) * 1000000)"),
     "extract1": ("regexp_extract({}, 1)", "regexp_extract({}, 1)"),
     "days": ("make_dt_interval(cast({} as int))", "to_days(cast({} as integer))"),
+    "text": ("string", "varchar"),
+    "word2": ("split({}, ' ')[1]", "split_part({}, ' ', 2)"),
+    "pair": ("array({})", "[{}]"),
     "dvec": ("{}", "cast({} as double[])"),
     "dot": ("aggregate(zip_with({}, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, z) -> s + z)", "list_dot_product({})"),
 }
