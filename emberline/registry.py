@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple[str, ...] = ("operators.topics", "operators.uploads", "operators.texts", "operators.adoption", "operators.ranker", "operators.families", "operators.clusters", "operators.lineage", "operators.resampling", "operators.versions", "streaming.registry")
+MODULES: tuple[str, ...] = (
+    "operators.topics", "operators.uploads", "operators.texts", "operators.adoption", "operators.ranker", "operators.families", "operators.clusters",
+    "operators.lineage", "operators.resampling", "operators.versions", "operators.folds", "streaming.registry", "sources.archive",
+)
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 #: Lengths of the trailing windows (fixed values).
 WINDOWS = {"n24": "24 hours", "n72": "72 hours", "n7": "7 days"}
@@ -25,3 +26,46 @@ def trailing_counts(events: DataFrame, length: str, key: str = "topic", at: str
 def once_each(events: DataFrame, key: str = "event_id", at: str = "ts", lateness: str = "1 hour") -> DataFrame:
     """Events without those whose key has been seen within the lateness; state is dropped after it."""
     return events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", lateness).dropDuplicatesWithinWatermark([key]).drop("_at")
+
+
+def punctual_and_late(events: DataFrame, at: str, received: str, grace_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """(events that came within the grace of their time, the others with a reason): `no_time` or `late`.
+
+    An event whose time of receipt is unknown counts as punctual.  The decision takes the row alone, so it is
+    the same on a stream and on a table, and no state is kept for it.
+    """
+    waited = F.unix_seconds(F.col(received).cast("timestamp")) - F.unix_seconds(F.col(at).cast("timestamp"))
+    reason = F.when(F.col(at).isNull(), "no_time").when(waited > grace_seconds, "late")
+    judged = events.withColumn("reason", reason)
+    return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")
+
+
+def counts_with_late_rows(events: DataFrame, target: str, late_target: str, checkpoint: str, key: str = "topic", at: str = "ts", lateness: str = "1 hour", slide: str = "1 hour") -> StreamingQuery:
+    """Start a stream that writes counts by key and slide to `target`, and what came behind the watermark to `late_target`.
+
+    Every batch is split by the time that earlier batches had reached: rows before it less the lateness, and those without a
+    time, go to the side with a reason and the number of the batch; the rest is merged into the counts.
+    Only keys that a batch holds are touched.  Both targets are versioned tables (`VersionedTable`) that
+    know the batches they hold, so a batch that is run again after a failure changes nothing.
+    """
+    from emberline.operators.versions import Field, VersionedTable
+
+    spark = events.sparkSession
+    patience = F.expr(f"INTERVAL {lateness}")
+    added = Field(F.count("*"), lambda old, new: old + new)
+    counts = VersionedTable(spark, target, ["slide", key], {"n": added})
+    late = VersionedTable(spark, late_target, [key, at, "reason", "batch"], {"n": added})
+    reached = VersionedTable(spark, f"{target}-reached", ["one"], {"seen": Field(F.max(at), lambda old, new: F.greatest(old, new))})
+
+    def take(batch: DataFrame, number: int) -> None:
+        name = str(number)
+        past = reached.read(batch.select(F.lit(1).alias("one"), F.col(at).alias("seen"))).first()
+        behind = F.lit(False) if past is None or past.seen is None else F.coalesce(F.col(at) < F.lit(past.seen) - patience, F.lit(False))
+        reason = F.when(F.col(at).isNull(), "no_time").when(behind, "late")
+        rows = batch.select(key, at, reason.alias("reason"))
+        late.merge(rows.filter("reason is not null").withColumn("batch", F.lit(number)), name)
+        counts.merge(rows.filter("reason is null").select(F.window(at, slide).start.alias("slide"), key), name)
+        # Last, so that a batch that is run again is split as before.
+        reached.merge(batch.select(F.lit(1).alias("one"), at), name)
+
+    return events.withColumn(at, F.col(at).cast("timestamp")).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
