@@ -19,14 +19,14 @@ OUTCOME_DAYS = 42
 SIZES = {"large": 1_000_000, "medium": 100_000, "small": 10_000, "micro": None}
 
 
-class LeakageError(ValueError):
+class SeenTooLate(ValueError):
     """A feature's input was observed after the checkpoint."""
 
 
 def visible_only(df: DataFrame, observed_at: str, as_of: datetime) -> DataFrame:
     """The rows themselves; raises if any was observed after the checkpoint (nulls were never observed and pass)."""
     if not df.filter(F.col(observed_at) > F.lit(as_of)).isEmpty():
-        raise LeakageError(f"{observed_at} holds times after {as_of}")
+        raise SeenTooLate(f"{observed_at} holds times after {as_of}")
     return df
 
 
@@ -130,8 +130,9 @@ SELECT topic, round(len(replace(right(path, {RECENT_DAYS}), '0', '')) / {RECENT_
     )
 )
 def burst_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inventory row J5."""
-    return burst_states(spark_sql(spark, sf_dir, render(TOPIC_EVENTS, 0)), datetime.fromisoformat(AS_OF.split("'")[1] + "+00:00"), at="ts")
+    """Inventory rows J5 and B4: the events pass the guard against look-ahead first."""
+    as_of = datetime.fromisoformat(AS_OF.split("'")[1] + "+00:00")
+    return burst_states(visible_only(spark_sql(spark, sf_dir, render(TOPIC_EVENTS, 0)), "ts", as_of), as_of, at="ts")
 
 
 @query(

@@ -11,7 +11,6 @@ for name, row, text in [
     ("tokenize", "I3", f"WITH {TOK} SELECT doc_id, cast(<<size:toks>> AS bigint) AS n, cast(<<size:<<distinct:toks>>>> AS bigint) AS n_distinct FROM t"),
     ("term_stats", "D16", f"WITH {TERMS} SELECT term, df, sources, first_doc FROM st"),
     ("idf", "I34", f"WITH {TERMS} SELECT term, round(ln((total + 1e0) / (df + 1e0)) + 1, 6) AS idf FROM st CROSS JOIN n"),
-    ("anchor_terms", "D17, I35-I37", f"WITH {TERMS}, c AS (SELECT source, term, count(*) AS hits FROM d GROUP BY source, term HAVING count(*) >= 2), z AS (SELECT source, count(*) AS docs FROM documents GROUP BY source), s AS (SELECT c.source, c.term, (c.hits * 1e0 / z.docs) / ((st.df + .5e0) / (n.total + .5e0)) AS lift, ln((n.total + 1e0) / (st.df + 1e0)) + 1 AS idf FROM c JOIN z ON c.source = z.source JOIN st ON c.term = st.term CROSS JOIN n WHERE st.df * 1e0 / n.total <= .10e0), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(ln(1 + lift) * idf, 6) DESC, term) AS k FROM s) SELECT source, term, round(ln(1 + lift) * idf, 5) AS score FROM r WHERE k <= 3"),
     ("keyword_weights", "D41", f"WITH {TERMS} SELECT source, term, round(sum(power(.5e0, doc_id / 450e0)), 6) AS weight FROM d GROUP BY source, term HAVING count(*) >= 3"),
     ("jaccard_brief", "I5, C18", f"WITH {TOK}, {BTOK}, dt AS (SELECT doc_id, <<explode:<<distinct:toks>>>> AS term FROM t), bt AS (SELECT item_id, <<explode:toks>> AS term FROM b), o AS (SELECT dt.doc_id, bt.item_id, count(*) AS overlap FROM dt JOIN bt ON dt.term = bt.term GROUP BY 1, 2) SELECT o.doc_id, o.item_id, round(overlap * 1e0 / least(<<size:b.toks>>, <<size:<<distinct:t.toks>>>>), 6) AS containment FROM o JOIN b ON o.item_id = b.item_id JOIN t ON o.doc_id = t.doc_id WHERE overlap * 1e0 / least(<<size:b.toks>>, <<size:<<distinct:t.toks>>>>) >= .92e0"),
     ("echo_count", "G10, I6", f"WITH h AS (SELECT doc_id, source, <<sha:lower(text)>> AS fp FROM documents) SELECT doc_id, cast(count(*) OVER (PARTITION BY fp) AS bigint) AS copies FROM h"),

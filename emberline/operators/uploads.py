@@ -92,6 +92,16 @@ SELECT cast(w.fold AS bigint) AS fold, count(*) AS train, max(w.validation) AS v
     ("first_row_metadata", "A5", f"WITH {O}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY age_days, line, views) AS k FROM o) SELECT video_id, max(CASE WHEN k = 1 THEN line END) AS first_line, max(views) AS best FROM r GROUP BY video_id"),
     ("reject_reason_counts", "A6, B22", f"WITH {V}, r AS (SELECT CASE WHEN views < 1000 THEN 'low_views' WHEN topic = '5-LOW' THEN 'category' WHEN published_at > {T} THEN 'future' ELSE 'accepted' END AS reason FROM v) SELECT reason, count(*) AS n FROM r GROUP BY reason"),
     ("mention_weight", "A24", f"WITH {V} SELECT video_id, round(1 + views / 100e0 / 1000 + (channel_id % 17) / 200e0, 8) AS weight FROM v"),
-    ("comparable_peers", "C22", f"WITH {V}, s AS (SELECT * FROM v WHERE channel_id <= 200), r AS (SELECT a.video_id, b.video_id AS peer, row_number() OVER (PARTITION BY a.video_id ORDER BY abs(a.views - b.views), b.published_at DESC, b.video_id) AS k FROM s a JOIN s b ON a.channel_id = b.channel_id AND b.published_at < a.published_at AND b.published_at >= a.published_at - INTERVAL 180 DAY AND b.views / greatest(a.views, 1e0) BETWEEN .6e0 AND 1.6e0) SELECT video_id, peer FROM r WHERE k <= 20".replace("s AS (SELECT * FROM v WHERE channel_id <= 200)", "s AS (SELECT * FROM v)")),
+    (
+        "comparable_peers",
+        "C22",
+        # A peer lies in the same half year or in the one before, so only these meet.
+        f"""WITH {V}, s AS (SELECT *, cast(floor(<<secs:published_at>> / 15552000) AS bigint) AS half FROM v),
+m AS (SELECT *, half AS meets FROM s UNION ALL SELECT *, half + 1 AS meets FROM s),
+r AS (SELECT a.video_id, b.video_id AS peer, row_number() OVER (PARTITION BY a.video_id ORDER BY abs(a.views - b.views), b.published_at DESC, b.video_id) AS k
+  FROM s a JOIN m b ON a.channel_id = b.channel_id AND a.half = b.meets AND b.published_at < a.published_at
+    AND b.published_at >= a.published_at - INTERVAL 180 DAY AND b.views / greatest(a.views, 1e0) BETWEEN .6e0 AND 1.6e0)
+SELECT video_id, peer FROM r WHERE k <= 20""",
+    ),
 ]:
     sql_query(name, text, row)

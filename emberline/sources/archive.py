@@ -109,3 +109,56 @@ def ledger_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
         points.merge(batch, name)
     points.merge(lines, "again")
     return points.read()
+
+
+@query(
+    """WITH d AS (SELECT c_custkey, min(o_orderdate) AS seen FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
+SELECT 'v' || c_custkey AS video_id, 'n' || c_nationkey AS channel_id, c_name AS title, TIMESTAMP '1990-01-01' AS published_at, seen AS discovered_at, c_mktsegment AS description
+FROM customer JOIN d USING (c_custkey)"""
+)
+def cohort_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory rows A1 and A2: customers written as a gzipped cohort, their orders as discovery lines, and read back."""
+    from emberline.sources.files import read_cohort, read_discovery
+
+    customers, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
+    video = F.concat(F.lit("v"), F.col("c_custkey")).alias("video_id")
+    cohort, discovery = _folder(spark, "cohort"), _folder(spark, "discovery")
+    export(customers.select(video, F.concat(F.lit("n"), F.col("c_nationkey")).alias("channel_id"), F.col("c_name").alias("title"), F.lit("1990-01-01").alias("upload_date"), F.col("c_mktsegment").alias("description")), cohort)
+    at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    orders.select(F.concat(F.lit("v"), F.col("o_custkey")), F.lit("x"), F.lit("y"), at).write.csv(discovery)
+    found = read_cohort(spark, cohort, read_discovery(spark, discovery))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("published_at", "discovered_at")})
+
+
+@query("SELECT 'v' || l_orderkey AS video_id, l_shipdate AS observed_at, l_linenumber / 2e0 AS age_days, cast(floor(l_extendedprice) AS bigint) AS views FROM lineitem WHERE l_linenumber <> 3")
+def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory row A4: lines written as gzipped snapshots, those of one number without views, and read back."""
+    from emberline.sources.files import read_snapshots
+
+    lines, folder = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), _folder(spark, "snapshots")
+    views = F.when(F.col("l_linenumber") != 3, F.floor("l_extendedprice"))
+    at = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    lines.select(F.concat(F.lit("v"), F.col("l_orderkey")), at, F.col("l_linenumber") * 43_200, views).write.option("compression", "gzip").csv(folder)
+    return read_snapshots(spark, folder).withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+
+
+@query("SELECT 'v' || vec_id AS video_id, len(embedding) AS dimensions, round(list_sum(list_transform(embedding, lambda x: cast(x AS double))), 5) AS total FROM embeddings")
+def embedding_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory row A3: vectors written as base64 in JSON lines and read back."""
+    from emberline.sources.files import read_embeddings
+
+    vectors, folder = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), _folder(spark, "vectors")
+
+    def encode(batches):
+        for batch in batches:
+            import base64
+
+            import numpy as np
+
+            texts = [base64.b64encode(np.asarray(v, "<f4").tobytes()).decode() for v in batch["embedding"]]
+            yield batch[["video_id"]].assign(dimensions=[len(v) for v in batch["embedding"]], embedding_base64=texts)
+
+    named = vectors.select(F.concat(F.lit("v"), F.col("vec_id")).alias("video_id"), "embedding")
+    export(named.mapInPandas(encode, "video_id string, dimensions int, embedding_base64 string"), folder)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return read_embeddings(spark, folder).select("video_id", F.size("embedding").cast("bigint").alias("dimensions"), F.round(total, 5).alias("total"))

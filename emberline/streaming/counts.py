@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from emberline.registry import query
+
 #: Lengths of the trailing windows (fixed values).
 WINDOWS = {"n24": "24 hours", "n72": "72 hours", "n7": "7 days"}
 
@@ -69,3 +71,15 @@ def counts_with_late_rows(events: DataFrame, target: str, late_target: str, chec
         reached.merge(batch.select(F.lit(1).alias("one"), at), name)
 
     return events.withColumn(at, F.col(at).cast("timestamp")).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@query(
+    """WITH s AS (SELECT event_type AS topic, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2),
+w AS (SELECT * FROM (VALUES ('n24', 24), ('n72', 72), ('n7', 168)) v(name, hours))
+SELECT name, topic, h + to_hours(cast(i + 1 AS integer)) AS as_of, cast(sum(n) AS bigint) AS n FROM s, w, range(168) r(i) WHERE i < hours GROUP BY ALL"""
+)
+def overlapping_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory row K4 over a table: the three trailing counts of every event type, for every hour that has one."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_type", "topic")
+    found = [trailing_counts(events, length).select(F.lit(name).alias("name"), "topic", F.col("as_of").cast("timestamp_ntz").alias("as_of"), "n") for name, length in WINDOWS.items()]
+    return found[0].union(found[1]).union(found[2])

@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators.adoption import LeakageError, after_cooldown, as_of_join, burst_states, size_bucket, visible_only
+from emberline.operators.adoption import SeenTooLate, after_cooldown, as_of_join, burst_states, size_bucket, visible_only
 
 AS_OF = datetime(2024, 3, 1)
 
@@ -63,5 +63,5 @@ def test_sizes_and_guard(spark):
     assert [r[0] for r in df.select(size_bucket(F.col("n"))).collect()] == ["micro", "small", "medium", "large", None]
     times = spark.createDataFrame([(AS_OF,), (None,)], "at timestamp")
     assert visible_only(times, "at", AS_OF).count() == 2
-    with pytest.raises(LeakageError):
+    with pytest.raises(SeenTooLate):
         visible_only(times, "at", AS_OF - timedelta(seconds=1))
