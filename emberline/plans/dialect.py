@@ -29,6 +29,7 @@ FRAGMENTS = {
     "from_secs": ("cast(timestamp_seconds({}) as timestamp_ntz)", "make_timestamp(({}) * 1000000)"),
     "extract1": ("regexp_extract({}, 1)", "regexp_extract({}, 1)"),
     "days": ("make_dt_interval(cast({} as int))", "to_days(cast({} as integer))"),
+    "run": ("cast(floor({} / 20) AS bigint)", "({} // 20)"),
     "text": ("string", "varchar"),
     "word2": ("split({}, ' ')[1]", "split_part({}, ' ', 2)"),
     "pair": ("array({})", "[{}]"),
