@@ -156,14 +156,15 @@ def assign(pieces: list[tuple[int, int, int]], room: list[int]) -> tuple[list[tu
     return placed, left
 
 
-def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, block_tokens: int = 1_000_000, remembered: int = MAX_REMEMBERED, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, block_tokens: int = 1_000_000, remembered: int = MAX_REMEMBERED, key: str = "doc_id", text: str = "text", forget: bool = False) -> DataFrame:
     """Pack every row's ids (its text's, then end_id) into sequences; one output row per piece.
 
     Null texts count as empty (end_id only), null keys stay null, repeated rows are packed each on
     its own, other columns are ignored, an empty table gives no rows.  A sequence never spans tasks;
     its id holds the partition in the upper 32 bits and a running number below.  Texts are taken in
     slices of bounded bytes, so a task holds one slice, one block and the longest text; remembered bounds
-    the chunks that a worker process keeps between tasks.
+    the chunks that a worker process keeps between tasks, and with forget it keeps none, nor the
+    vocabulary, which suits a session whose workers have other work to do.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,5 +206,8 @@ def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, block_
                         yield flush(False)
         if pieces:
             yield flush(True)
+        if forget:
+            del encoder
+            word_encoder.cache_clear()
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), SCHEMA)
