@@ -11,11 +11,12 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.plans.tables import written
 from emberline.registry import query
 
 
 @dataclass(frozen=True)
-class RankingPolicy:
+class Limits:
     # What a model needs before it is fitted, and what a score needs before it is shown.
     l2: float = 1.0
     minimum_training_examples: int = 60
@@ -24,19 +25,19 @@ class RankingPolicy:
     minimum_anchor_score: float = 1.5
 
 
-class InsufficientTrainingData(ValueError):
-    """The episodes cannot identify a model."""
+class TooFewRows(ValueError):
+    """There are too few labelled rows to learn from, or nothing has been learnt yet."""
 
 
 @dataclass
-class AdoptionRanker:
+class OutcomeHead:
     """Logistic regression on features scaled to mean 0 and population deviation 1 (deviations below 1e-6 count as 1).
 
     Missing features and null values count as 0; rows with a null label take no part in fitting.
     """
 
     features: list[str]
-    policy: RankingPolicy = field(default_factory=RankingPolicy)
+    policy: Limits = field(default_factory=Limits)
     means: dict[str, float] = field(default_factory=dict)
     scales: dict[str, float] = field(default_factory=dict)
     model: LogisticRegressionModel | None = None
@@ -50,14 +51,14 @@ class AdoptionRanker:
         names = [f"_scaled{i}" for i in range(len(scaled))]
         return VectorAssembler(inputCols=names, outputCol="_features").transform(df.select("*", *scaled)).drop(*names)
 
-    def fit(self, training: DataFrame, label: str = "label") -> AdoptionRanker:
+    def fit(self, training: DataFrame, label: str = "label") -> OutcomeHead:
         known = training.filter(F.col(label).isNotNull())
         moments = [measure(value).alias(f"_{kind}{i}") for i, value in enumerate(self._values(known)) for kind, measure in (("m", F.mean), ("s", F.stddev_pop))]
         seen = known.agg(F.count("*").alias("_n"), F.count_if(F.col(label).cast("double") > 0).alias("_positive"), *moments).first()
         if seen["_n"] < self.policy.minimum_training_examples:
-            raise InsufficientTrainingData(f"need {self.policy.minimum_training_examples} episodes, got {seen['_n']}")
+            raise TooFewRows(f"{seen['_n']} labelled rows, {self.policy.minimum_training_examples} are the least")
         if seen["_positive"] < self.policy.minimum_positive_examples:
-            raise InsufficientTrainingData(f"need {self.policy.minimum_positive_examples} positives, got {seen['_positive']}")
+            raise TooFewRows(f"{seen['_positive']} rows of label 1, {self.policy.minimum_positive_examples} are the least")
         self.means = {f: seen[f"_m{i}"] for i, f in enumerate(self.features)}
         self.scales = {f: seen[f"_s{i}"] if seen[f"_s{i}"] >= 1e-6 else 1.0 for i, f in enumerate(self.features)}
         # The loss is a mean over rows here, so the penalty of a summed loss is divided by their number.
@@ -68,12 +69,12 @@ class AdoptionRanker:
     def rank_scores(self, df: DataFrame) -> DataFrame:
         """The rows with rank_score: the log odds."""
         if self.model is None:
-            raise InsufficientTrainingData("model has not been fitted")
+            raise TooFewRows("fit has not been called")
         judged = self.model.transform(self._assembled(df))
         return judged.select(*df.columns, F.element_at(vector_to_array("rawPrediction"), 2).alias("rank_score"))
 
     def calibrate(self, holdout: DataFrame, label: str = "label") -> bool:
-        """Fit the calibrator on a strictly later window, which the caller chooses; False if that cannot be done."""
+        """Learn a monotone probability from rows that fit has not seen; without enough rows or with one label only there is none, and False."""
         self.calibrator = None
         known = self.rank_scores(holdout.filter(F.col(label).isNotNull())).select("rank_score", F.col(label).cast("double").alias("_label"))
         size, kinds = known.agg(F.count("*"), F.count_distinct("_label")).first()
@@ -105,7 +106,8 @@ class AdoptionRanker:
 def adoption_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory rows J8 to J10: labelled documents stand for episodes, in the order of their ids.
 
-    The first three fifths are learnt from, the next fifth calibrates, all are scored.  Fitting is
+    The first three fifths are learnt from, the next fifth calibrates, all are scored.  As the smallest
+    table has few labels, 20 rows and 5 of label 1 suffice here (60 and 10 by default).  Fitting is
     iterative, so tests compare it with a direct solution instead of SQL.
     """
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
@@ -121,8 +123,9 @@ def adoption_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array().cast("array<string>").alias("reasons"),
         F.log10(F.greatest(F.col("n_chars"), F.lit(1))).alias("anchor_score"),
     )
+    rows = written(rows, "episodes")  # texts are read once, not in each pass of the fit
     last = documents.agg(F.max("doc_id")).first()[0] or 0
-    ranker = AdoptionRanker(["log_length", "words_a_line", "stops"], RankingPolicy(minimum_training_examples=20, minimum_positive_examples=5))
+    ranker = OutcomeHead(["log_length", "words_a_line", "stops"], Limits(minimum_training_examples=20, minimum_positive_examples=5))
     ranker.fit(rows.filter(F.col("doc_id") < last * 3 // 5))
     ranker.calibrate(rows.filter(F.col("doc_id").between(last * 3 // 5, last * 4 // 5)))
     return ranker.score(rows).select("doc_id", "rank_score", "probability", "abstained", "reason_codes")

@@ -37,8 +37,8 @@ def read_discovery(spark: SparkSession, path: str) -> DataFrame:
 def read_cohort(spark: SparkSession, path: str, discovery: DataFrame | None) -> DataFrame:
     """(video_id, channel_id, title, published_at, discovered_at, description) from JSON lines, plain or gzip.
 
-    Videos without a discovery time are left out.  Without a discovery table publication stands for
-    observation, which serves comparisons on equal inputs only, never claims of predictive validity.
+    With a discovery table only its videos stay.  With None every video counts as discovered when it
+    was published, earlier than anybody can have seen it, so use that only to compare methods.
     """
     rows = spark.read.schema("video_id string, channel_id string, title string, upload_date string, description string").json(path, mode="FAILFAST")
     videos = rows.select("video_id", "channel_id", "title", instant(F.col("upload_date")).alias("published_at"), F.substring(F.coalesce("description", F.lit("")), 1, DESCRIPTION).alias("description"))

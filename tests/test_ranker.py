@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from emberline.operators.ranker import AdoptionRanker, InsufficientTrainingData
+from emberline.operators.ranker import OutcomeHead, TooFewRows
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def pooled(scores, labels):
 
 def test_scores_and_probabilities_equal_a_direct_solution(spark, episodes):
     x, y = episodes
-    ranker = AdoptionRanker(["a", "b", "flat", "absent"]).fit(frame(spark, x[:140], y[:140]))
+    ranker = OutcomeHead(["a", "b", "flat", "absent"]).fit(frame(spark, x[:140], y[:140]))
     assert ranker.scales["flat"] == 1.0
     got = np.array([r.rank_score for r in ranker.rank_scores(frame(spark, x[:140], y[:140])).orderBy("id").collect()])
     assert np.abs(got - newton(x[:140], y[:140])).max() < 1e-3
@@ -55,16 +55,16 @@ def test_scores_and_probabilities_equal_a_direct_solution(spark, episodes):
 
 def test_too_few_examples(spark, episodes):
     x, y = episodes
-    with pytest.raises(InsufficientTrainingData, match="episodes"):
-        AdoptionRanker(["a"]).fit(frame(spark, x[:59], y[:59]))
-    with pytest.raises(InsufficientTrainingData, match="positives"):
-        AdoptionRanker(["a"]).fit(frame(spark, x[:80], np.zeros(80)))
-    ranker = AdoptionRanker(["a", "b"]).fit(frame(spark, x, y))
+    with pytest.raises(TooFewRows, match="labelled rows"):
+        OutcomeHead(["a"]).fit(frame(spark, x[:59], y[:59]))
+    with pytest.raises(TooFewRows, match="label 1"):
+        OutcomeHead(["a"]).fit(frame(spark, x[:80], np.zeros(80)))
+    ranker = OutcomeHead(["a", "b"]).fit(frame(spark, x, y))
     assert not ranker.calibrate(frame(spark, x[:79], y[:79])) and not ranker.calibrate(frame(spark, x[:90], np.ones(90)))
 
 
 def test_abstaining(spark, episodes):
-    ranker = AdoptionRanker(["a", "b"]).fit(frame(spark, *episodes))
+    ranker = OutcomeHead(["a", "b"]).fit(frame(spark, *episodes))
     rows = [(1, 1.0, 50.0, "accepted", [], 2.0), (2, 1.0, 50.0, "watch", ["single_repeated_angle"], 1.0), (3, None, None, None, None, None), (4, 1.0, 50.0, "rejected", [], 1.5)]
     got = {r.id: r for r in ranker.score(spark.createDataFrame(rows, "id int, a double, b double, status string, reasons array<string>, anchor_score double")).collect()}
     assert [got[i].abstained for i in (1, 2, 3, 4)] == [False, True, True, True]
