@@ -222,7 +222,11 @@ def topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory row J2: vectors stand for questions, remainders of their ids for askers (40), videos (20) and channels (10)."""
     found = cohesive_clusters(_vectors(spark, sf_dir), QUESTIONS, 0.0)
-    counts = {name: F.size(F.array_distinct(F.transform("members", lambda m, n=n: m % n))) for name, n in (("askers", 40), ("videos", 20), ("channels", 10))}
+
+    def kinds(n: int) -> Column:
+        return F.size(F.array_distinct(F.transform("members", lambda m: m % n)))
+
+    counts = {"askers": kinds(40), "videos": kinds(20), "channels": kinds(10)}
     named = F.concat(F.lit("d_"), F.substring(F.sha2(F.array_join(F.array_sort(F.col("members").cast("array<string>")), "|"), 256), 1, 16))
     gated = found.withColumns(counts).filter((F.col("askers") >= LEAST_ASKERS) & (F.col("videos") >= LEAST_VIDEOS) & (F.col("channels") >= LEAST_CHANNELS))
     return gated.select(named.alias("item_id"), F.size("members").alias("n"), *counts, F.get("exemplars", F.lit(0)).alias("representative"), "mean_similarity")
