@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from emberline.plans.tables import written
 from emberline.registry import query
 
-#: Rows of which one partition holds at most so many (about 80 MB for 100 features).
+#: Rows to a partition (about 80 MB for 100 features).  Where all rows fit in one, its task takes all steps.
 PART_ROWS = 100_000
 
 
@@ -75,39 +75,47 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"matrix": pa.array([matrix.tobytes()], pa.binary())})
 
 
-def _blocks(columns: list[Column], rows: DataFrame, count: int) -> RDD:
+def _blocks(columns: list[Column], rows: DataFrame, count: int, part_rows: int) -> RDD:
     """The rows as matrices, kept by the executors; a lost one is read again from the written table."""
     width = len(columns)
     packed = written(rows.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(_matrices, "matrix binary"), "matrices")
-    few = packed.coalesce(max(1, -(-count // PART_ROWS)))
+    few = packed.coalesce(max(1, -(-count // part_rows)))
     return few.rdd.map(lambda r: np.frombuffer(r["matrix"]).reshape(-1, width)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _descend(blocks: RDD, start: np.ndarray, steps: int, change: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Follow the gradient: each step is one sum over all rows, of which one small vector comes back.
+    """Follow the gradient: each step is one sum over all rows, of which one small vector comes back; one partition alone takes all steps in one job.
 
     A block's columns are the factors of the state (an offset's factor is 1) and the label at the end.
     """
-    state, zero = start, np.zeros(len(start))
+    zero = np.zeros(len(start))
 
     def add(total: np.ndarray, block: np.ndarray, now: np.ndarray) -> np.ndarray:
         x = block[:, :-1]
         return total + x.T @ (_sigmoid(x @ now) - block[:, -1])
 
+    def whole(own: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+        rows, state = np.vstack(list(own)), start
+        for step in range(steps):
+            state = change(step, state, add(zero, rows, state))
+        yield state
+
+    if blocks.getNumPartitions() == 1:
+        return blocks.mapPartitions(whole).collect()[0]
+    state = start
     for step in range(steps):
         now = state
-        total = blocks.treeAggregate(zero, lambda t, b, now=now: add(t, b, now), np.add)
-        state = change(step, state, total)
+        state = change(step, now, blocks.treeAggregate(zero, lambda t, b, now=now: add(t, b, now), np.add))
     return state
 
 
-def fit(training: DataFrame, features: list[str], later: DataFrame | None = None, label: str = "label", schedule: Schedule = Schedule()) -> DescentHead:
+def fit(training: DataFrame, features: list[str], later: DataFrame | None = None, label: str = "label", schedule: Schedule = Schedule(), part_rows: int = PART_ROWS) -> DescentHead:
     """Learn from `training`; then slope and shift of the log odds from `later` rows, which the caller must take from after it.
 
     Features are scaled to mean 0 and population deviation 1 (deviations below 1e-6 count as 1e-6) and are used in the
     order of their names.  Rows with a null label take no part; equal rows count each.  Fewer than 20 rows, or one label
     only, raise CannotLearn for training and leave slope 1 and shift 0 for later rows.  Sums over rows are
-    rounded to 10 places at the end, so partitioning does not show.
+    rounded to 10 places at the end, so partitioning does not show: up to part_rows rows are one task, more are one job a step.
     """
     names = tuple(sorted(set(features)))
     if not names:
@@ -130,17 +138,17 @@ def fit(training: DataFrame, features: list[str], later: DataFrame | None = None
         return state - schedule.rate / math.sqrt(1 + step / 100) * (total / count + penalty * state)
 
     start = np.array([math.log(positives / (count - positives))] + [0.0] * len(names))
-    blocks = _blocks([F.lit(1.0), *scaled, truth], known, count)
+    blocks = _blocks([F.lit(1.0), *scaled, truth], known, count, part_rows)
     try:
         offset, *weights = (round(float(v), 10) for v in _descend(blocks, start, schedule.steps, head_step))
     finally:
         blocks.unpersist()
     raw = DescentHead(names, means, scales, tuple(weights), offset, 1.0, 0.0, False, count, positives)
-    slope, shift, calibrated = (1.0, 0.0, False) if later is None else _slope(raw, later, label, schedule)
+    slope, shift, calibrated = (1.0, 0.0, False) if later is None else _slope(raw, later, label, schedule, part_rows)
     return DescentHead(names, tuple(round(m, 10) for m in means), tuple(round(s, 10) for s in scales), raw.weights, offset, slope, shift, calibrated, count, positives)
 
 
-def _slope(head: DescentHead, later: DataFrame, label: str, schedule: Schedule) -> tuple[float, float, bool]:
+def _slope(head: DescentHead, later: DataFrame, label: str, schedule: Schedule, part_rows: int) -> tuple[float, float, bool]:
     known = later.filter(F.col(label).isNotNull())
     truth = (F.col(label).cast("double") > 0).cast("double")
     count, positives = known.agg(F.count("*"), F.sum(truth)).first()
@@ -153,7 +161,7 @@ def _slope(head: DescentHead, later: DataFrame, label: str, schedule: Schedule)
         moved = state - schedule.slope_rate / math.sqrt(1 + step / 100) * (total / count + pull)
         return np.array([min(high, max(low, moved[0])), moved[1]])
 
-    blocks = _blocks([head.log_odds(known), F.lit(1.0), truth], known, count)
+    blocks = _blocks([head.log_odds(known), F.lit(1.0), truth], known, count, part_rows)
     try:
         slope, shift = _descend(blocks, np.array([1.0, 0.0]), schedule.slope_steps, slope_step)
     finally:
@@ -185,7 +193,7 @@ SELECT doc_id, round(1e0 / (1e0 + exp(-(a * (b + w1 * (x1 - round(m1, 10)) / rou
 def probability_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory row J11: labelled documents stand for episodes; ids in the lower half are learnt from, the others set slope and shift, all are scored.
 
-    2,500 steps are 2,500 small jobs whatever the size: each reads rows that the executors hold and sends back one vector.
+    Beyond 100,000 rows each of the 2,500 steps is a job: it reads rows that the executors hold and sends back one vector.
     """
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")

@@ -7,7 +7,7 @@ import pytest
 
 from emberline.operators.descent import CannotLearn, Schedule, fit
 
-SHORT = Schedule(steps=60, slope_steps=40)
+SHORT = Schedule(steps=20, slope_steps=12)
 
 
 def sigmoid(z):
@@ -52,10 +52,11 @@ def frame(spark, rows, parts):
     return spark.createDataFrame([(*x, y, "kept") for x, y in rows], "a double, b double, c double, label double, matrix string").repartition(parts)
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_equals_the_recurrence(spark, parts):
+@pytest.mark.parametrize("parts, part_rows", [(1, 1000), (5, 1000), (5, 20)])
+def test_equals_the_recurrence(spark, parts, part_rows):
+    """In one task, and with one job a step."""
     train, later = some_rows(3, 70), some_rows(4, 40)
-    head = fit(frame(spark, train, parts), ["c", "a", "b"], frame(spark, later, parts), schedule=SHORT)
+    head = fit(frame(spark, train, parts), ["c", "a", "b"], frame(spark, later, parts), schedule=SHORT, part_rows=part_rows)
     means, scales, weights, offset, slope, shift = plain(train, later, SHORT)
     assert head.features == ("a", "b", "c") and head.calibrated and (head.rows, head.positives) == (75, int(sum(y for _, y in train)))
     for got, want in [*zip(head.means, means), *zip(head.scales, scales), *zip(head.weights, weights), (head.offset, offset), (head.slope, slope), (head.shift, shift)]:
