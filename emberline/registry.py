@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES: tuple[str, ...] = (
     "operators.topics", "operators.uploads", "operators.texts", "operators.adoption", "operators.ranker", "operators.families", "operators.clusters",
-    "operators.lineage", "operators.resampling", "operators.versions", "operators.folds", "operators.anchors", "operators.candidates", "operators.descent", "operators.rules", "streaming.counts", "streaming.registry", "sources.archive",
+    "operators.lineage", "operators.resampling", "operators.versions", "operators.folds", "operators.anchors", "operators.candidates", "operators.descent", "operators.rules", "operators.feeds", "streaming.counts", "streaming.registry", "sources.archive",
 )
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
