@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.plans.ranks import quantiles, with_average_rank
@@ -14,6 +14,12 @@ LEAST_FIT, HALF_LIFE_DAYS, MOST = 0.343, 14.0, 20
 WEIGHTS = {"fit": 0.60, "volume": 0.25, "freshness": 0.15}
 
 
+def rounded(share: Column) -> Column:
+    """A number from 0 on to six places, from its binary value, as the SQL does; Spark's round goes by the decimal digits that are shown."""
+    scaled = share * 1e6
+    return (F.floor(scaled) + F.when(scaled - F.floor(scaled) >= 0.5, 1).otherwise(0)) / 1e6
+
+
 def feed(entries: DataFrame, most: int = MOST) -> DataFrame:
     """(channel, position, item, actionable, rank) of each channel's first entries, from (channel, item, fit, volume, age_days, covered, answered).
 
@@ -27,7 +33,7 @@ def feed(entries: DataFrame, most: int = MOST) -> DataFrame:
     held = written(known.select("item", "channel", "fit", "volume", F.round(F.pow(F.lit(0.5), F.col("age_days") / HALF_LIFE_DAYS), 6).alias("freshness"), (~shut).alias("actionable")), "entries")
     for name in WEIGHTS:
         held = written(with_average_rank(held, "channel", name, f"{name}_rank"), "ranked")
-    held = held.withColumn("rank", F.round(sum((w * F.col(f"{n}_rank") for n, w in list(WEIGHTS.items())[1:]), WEIGHTS["fit"] * F.col("fit_rank")), 6))
+    held = held.withColumn("rank", rounded(sum((w * F.col(f"{n}_rank") for n, w in list(WEIGHTS.items())[1:]), WEIGHTS["fit"] * F.col("fit_rank"))))
     # Spark cuts each task's rows to `most` a channel before they meet.
     order = Window.partitionBy("channel").orderBy(F.desc("actionable"), F.desc("rank"), "item")
     return held.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most).select("channel", "position", "item", "actionable", "rank")
