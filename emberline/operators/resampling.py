@@ -45,9 +45,13 @@ def lifts(rows: DataFrame, seed: int, selected, replicates: int = REPLICATES) ->
     held = written(rows.select("id", "unit", F.col("score").cast("double").alias("score"), F.col("label").cast("int").alias("label")).dropna(), "episodes")
     cuts = held.agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []
     bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c > F.col("score"))) if cuts else F.lit(0)
+    held = held.withColumn("bucket", bucket)
+    # A unit's rows of one range count together, so each unit is hashed once for each of its ranges and replicates.
+    units = written(held.groupBy("unit", "bucket").agg(F.count("*").alias("c"), F.sum("label").alias("l")), "units")
+    each = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
     # Rows of weight 0 stay: a filter would hash each of them once for every possible weight.
-    drawn = held.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight(seed, F.col("replicate"), F.col("unit"))).withColumn("bucket", bucket)
-    sums = written(drawn.groupBy("replicate", "bucket").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("label")).alias("p")), "ranges")
+    drawn = units.select("*", each).withColumn("w", weight(seed, F.col("replicate"), F.col("unit")))
+    sums = written(drawn.groupBy("replicate", "bucket").agg(F.sum(F.col("w") * F.col("c")).alias("w"), F.sum(F.col("w") * F.col("l")).alias("p")), "ranges")
     # At most RANGES rows for each replicate.
     own = Window.partitionBy("replicate")
     upto = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -55,7 +59,8 @@ def lifts(rows: DataFrame, seed: int, selected, replicates: int = REPLICATES) ->
     chosen = run.filter("w > 0").withColumn("count", selected(F.col("n"))).filter((F.col("through") >= F.col("count")) & (F.col("through") - F.col("w") < F.col("count")))
     ends = written(chosen.select("replicate", "bucket", "n", "positives", (F.col("count") - F.col("through") + F.col("w")).alias("rest"), (F.col("hits_through") - F.col("p")).alias("hits")), "ends")
     order = Window.partitionBy("replicate").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    last = drawn.join(bounded(ends), ["replicate", "bucket"]).withColumn("before", F.sum("w").over(order) - F.col("w"))
+    # Only rows of the range in which a replicate ends are hashed for it.
+    last = held.join(bounded(ends), "bucket").withColumn("w", weight(seed, F.col("replicate"), F.col("unit"))).withColumn("before", F.sum("w").over(order) - F.col("w"))
     taken = F.greatest(F.lit(0), F.least(F.col("w"), F.col("rest") - F.col("before"))) * F.col("label")
     found = last.groupBy("replicate", "n", "positives", "rest", "hits").agg(F.sum(taken).alias("more"))
     count, hits = selected(F.col("n")), F.col("hits") + F.col("more")
