@@ -15,6 +15,8 @@ from emberline.registry import query
 
 # How alike a cluster and a topic must be, and the weight of a new centroid.
 LEAST_COSINE, LEAST_JACCARD, NEW_WEIGHT = 0.84, 0.10, 0.30
+#: Entries of a map that a task holds.
+MOST_HELD = 100_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What a change of a topic looks like: event is created, continue or merge (then `merged` is the topic that ends).
 CHANGES = "niche string, as_of timestamp, cluster string, event string, topic string, merged string, members bigint, channels bigint, first_seen timestamp"
@@ -34,6 +36,35 @@ def _blended(old: list[float], new: list[float]) -> list[float]:
     return [x / norm for x in mixed] if norm else mixed
 
 
+class Held:
+    """A map of the state, read and written by entry, of which up to MOST_HELD entries stay in memory while a batch is worked on."""
+
+    def __init__(self, state) -> None:
+        self.state, self.entries, self.changed = state, {}, set()
+
+    def get(self, name: str):
+        """The entry, or None."""
+        if name not in self.entries:
+            if len(self.entries) >= MOST_HELD:
+                self.flush()
+            self.entries[name] = self.state.getValue((name,)) if self.state.containsKey((name,)) else None
+        return self.entries[name]
+
+    def put(self, name: str, value: tuple | None) -> None:
+        """None takes the entry away."""
+        self.get(name)
+        self.entries[name] = value
+        self.changed.add(name)
+
+    def flush(self) -> None:
+        for name in sorted(self.changed):
+            if (value := self.entries[name]) is not None:
+                self.state.updateValue((name,), value)
+            elif self.state.containsKey((name,)):
+                self.state.removeKey((name,))
+        self.entries, self.changed = {}, set()
+
+
 class TopicState(StatefulProcessor):
     """A niche's topics, each an entry of its own, with indexes from members and anchors to the topics that hold them.
 
@@ -46,8 +77,15 @@ class TopicState(StatefulProcessor):
         self.by_anchor = handle.getMapState("by_anchor", "anchor string", "topics array<string>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for cluster in sorted(rows, key=lambda r: (r.as_of, r.cluster)):
-            yield from self._assign(key[0], cluster)
+        maps = (self.topics, self.by_member, self.by_anchor)
+        self.topics, self.by_member, self.by_anchor = map(Held, maps)
+        try:
+            for cluster in sorted(rows, key=lambda r: (r.as_of, r.cluster)):
+                yield from self._assign(key[0], cluster)
+            for held in (self.topics, self.by_member, self.by_anchor):
+                held.flush()
+        finally:
+            self.topics, self.by_member, self.by_anchor = maps
 
     def close(self) -> None:
         pass
@@ -56,26 +94,22 @@ class TopicState(StatefulProcessor):
         """Topics of an index, with the number of names that lead to each."""
         found: dict[str, int] = {}
         for name in names:
-            if index.containsKey((name,)):
-                for topic in index.getValue((name,))[0]:
-                    found[topic] = found.get(topic, 0) + 1
+            for topic in (index.get(name) or ((),))[0]:
+                found[topic] = found.get(topic, 0) + 1
         return found
 
     def _index(self, index, names: list[str], topic: str, add: bool) -> None:
         for name in names:
-            held = list(index.getValue((name,))[0]) if index.containsKey((name,)) else []
+            held = list((index.get(name) or ((),))[0])
             if add != (topic in held):
                 held = sorted([*held, topic]) if add else [t for t in held if t != topic]
-                if held:
-                    index.updateValue((name,), (held,))
-                else:
-                    index.removeKey((name,))
+                index.put(name, (held,) if held else None)
 
     def _matches(self, cluster: Row, members: list[str], anchors: list[str]) -> list[tuple[str, Row]]:
         shared, anchored = self._listed(self.by_member, members), self._listed(self.by_anchor, anchors)
         found = []
         for topic in shared.keys() | anchored.keys():
-            held = self.topics.getValue((topic,))
+            held = self.topics.get(topic)
             common = shared.get(topic, 0)
             near = common / max(len(members) + len(held[3]) - common, 1) >= LEAST_JACCARD
             if (near or topic in anchored) and _cosine(list(cluster.centroid or []), list(held[1])) >= LEAST_COSINE:
@@ -103,7 +137,7 @@ class TopicState(StatefulProcessor):
             members, channels = sorted({*members, *loser[3]}), sorted({*channels, *loser[4]})
             self._index(self.by_member, list(loser[3]), name, False)
             self._index(self.by_anchor, list(loser[2]), name, False)
-            self.topics.removeKey((name,))
+            self.topics.put(name, None)
         held = (winner[0], _blended(list(winner[1]), list(cluster.centroid)), anchors or list(winner[2]), sorted({*members, *winner[3]}), sorted({*channels, *winner[4]}))
         self._store(topic, held, list(winner[3]), list(winner[2]))
         for name, _ in losers:
@@ -112,7 +146,7 @@ class TopicState(StatefulProcessor):
             yield change("continue", topic, None, held)
 
     def _store(self, topic: str, held: tuple, old_members: list[str], old_anchors: list[str]) -> None:
-        self.topics.updateValue((topic,), held)
+        self.topics.put(topic, held)
         self._index(self.by_member, sorted({*held[3]} - {*old_members}), topic, True)
         self._index(self.by_anchor, [a for a in old_anchors if a not in held[2]], topic, False)
         self._index(self.by_anchor, [a for a in held[2] if a not in old_anchors], topic, True)
