@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.plans.tables import bounded, written
@@ -231,6 +231,10 @@ def microtopics(members: DataFrame) -> DataFrame:
     return rows.select("topic_key", label.alias("label"), alias.alias("alias"), "entities", "n_documents", specific.alias("specificity"), "facet")
 
 
+#: Terms of a group that are tried before all of them are.
+FIRST_TERMS = 1000
+
+
 def ranked_terms(weights: DataFrame, most: int, group: str = "source", boost: float = 1.15) -> DataFrame:
     """(group, rank, term, weight) of each group's best terms, from rows (group, term, weight).
 
@@ -250,11 +254,18 @@ def ranked_terms(weights: DataFrame, most: int, group: str = "source", boost: fl
 
     none = "cast(array() as array<struct<by:double,term:string,weight:double,words:array<string>>>) AS chosen"
     state = written(held.select("g").distinct().selectExpr("g", none), "chosen")
-    for _ in range(most):
-        open_ = held.join(bounded(state), "g").filter(~F.exists("chosen", lambda c: (c["term"] == F.col("term")) | parted(c["words"])))
-        nearest = open_.groupBy("g").agg(F.min(F.struct("by", "term", "weight", "words")).alias("next"))
-        grown = F.when(F.col("next").isNotNull(), F.concat("chosen", F.array("next"))).otherwise(F.col("chosen"))
-        state = written(state.join(nearest, "g", "left").select("g", grown.alias("chosen")), "chosen")
+    # A term depends on better ones only: what a group's first terms fill is final.  Groups that they do not fill go through all their terms.
+    best_first = Window.partitionBy("g").orderBy("by", "term")
+    early = written(held.withColumn("at", F.row_number().over(best_first)).filter(F.col("at") <= FIRST_TERMS).drop("at"), "early")
+    for terms in (early, held):
+        for _ in range(most):
+            short = state.filter(F.size("chosen") < most)
+            if terms is held and short.isEmpty():
+                break
+            open_ = terms.join(bounded(short), "g").filter(~F.exists("chosen", lambda c: (c["term"] == F.col("term")) | parted(c["words"])))
+            nearest = open_.groupBy("g").agg(F.min(F.struct("by", "term", "weight", "words")).alias("next"))
+            grown = F.when(F.col("next").isNotNull(), F.concat("chosen", F.array("next"))).otherwise(F.col("chosen"))
+            state = written(state.join(nearest, "g", "left").select("g", grown.alias("chosen")), "chosen")
     return state.select(F.col("g").alias(group), F.posexplode("chosen").alias("at", "t")).select(group, (F.col("at") + 1).alias("rank"), "t.term", "t.weight")
 
 
