@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.operators.families import tokens_of
-from emberline.plans.tables import even_join, written
+from emberline.plans.tables import bounded, even_join, written
 from emberline.registry import query
 
 # Days of background, gates and weights of an anchor, anchors of a cluster.
 BACKGROUND_DAYS, LEAST_SUPPORT, MOST_SHARE, LEAST_PART_IDF, NOVELTY_WEIGHT, MOST_ANCHORS = 365, 2, 0.10, 4.0, 1.0, 3
+#: Bytes of text of a cluster that is counted in one task, bytes of text for each such task, and bytes of terms that are broadcast.
+LOCAL, A_TASK, MOST_BROADCAST = 16 << 20, 4 << 20, 32 << 20
 
 
 def terms_of(text: Column) -> Column:
@@ -23,26 +25,54 @@ def terms_of(text: Column) -> Column:
     return F.array_compact(F.array_distinct(F.concat(found, pairs)))
 
 
+def _supported(documents: DataFrame, sizes: DataFrame, volume: int) -> DataFrame:
+    """(cluster, term, hits, support) of the terms that two support keys of a cluster use.
+
+    The texts of clusters of up to LOCAL bytes are brought together by cluster and their terms counted where
+    they are, so terms are not moved; larger clusters' terms are counted in shares and moved.
+    """
+
+    def counted(rows: DataFrame) -> DataFrame:
+        each = rows.select("cluster", "support_key", F.explode(terms_of(F.col("text"))).alias("term"))
+        each = each.groupBy("cluster", "term", "support_key").agg(F.count("*").alias("hits"))
+        return each.groupBy("cluster", "term").agg(F.sum("hits").alias("hits"), F.count("support_key").alias("support")).filter(F.col("support") >= LEAST_SUPPORT)
+
+    texts, large = documents.select("cluster", "support_key", "text"), sizes.filter((F.col("bytes") > LOCAL) & F.col("cluster").isNotNull()).select("cluster")
+    tasks = max(volume // A_TASK, documents.sparkSession.sparkContext.defaultParallelism)
+    if large.isEmpty():
+        return counted(texts.repartition(tasks, "cluster"))
+    small = even_join(texts, large, ["cluster"], "support_key", "left_anti")
+    return counted(small.repartition(tasks, "cluster")).union(counted(even_join(texts, large, ["cluster"], "support_key", "left_semi")))
+
+
 def anchors(documents: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
     """(cluster, rank, term, score, lift, idf, novelty, support) of each cluster's best terms, from documents (cluster, support_key, text, age_days).
 
-    The background is every document of the last year (age_days from 0 to 365); its counts, first sightings and
-    a cluster's hits come from one count by cluster, term and key.  A term needs two support keys, at most a
+    The background is every document of the last year (age_days from 0 to 365); its counts and first sightings are
+    only taken for terms that some cluster supports, which are found first, see `_supported`.  A term needs two support keys, at most a
     tenth of the background and, if it is a pair, two rare parts; score = ln(1 + lift) idf (1 + novelty).  A
     single token goes if a better pair of the cluster holds it.  Ties go to the lesser term.  Null and
     empty texts have no terms but count as documents; null clusters are left out, a null key supports nothing.
     """
     inside = F.coalesce(F.col("age_days").between(0, BACKGROUND_DAYS), F.lit(False))
     held = documents.select("cluster", "support_key", "text", inside.alias("inside"), "age_days")
-    each = held.select("cluster", "support_key", "inside", F.when(F.col("inside"), F.col("age_days")).alias("age"), F.explode(terms_of(F.col("text"))).alias("term"))
-    counted = written(each.groupBy("cluster", "term", "support_key").agg(F.count("*").alias("hits"), F.count_if(F.col("inside")).alias("df"), F.max("age").alias("age")), "terms")
-    total = held.filter("inside").count()
+    sizes = held.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(F.octet_length("text")).alias("bytes"), F.count_if("inside").alias("inside"))
+    sizes = written(sizes, "sizes")
+    seen = sizes.agg(F.sum("inside"), F.sum(F.when(F.col("cluster").isNotNull(), F.col("bytes")))).first()
+    total, volume = seen[0] or 0, seen[1] or 0
+    supported = written(_supported(held.filter("cluster is not null"), sizes, volume), "supported")
+    # The parts of a supported pair are supported in its cluster too, so these are all terms that are asked for.
+    asked = written(supported.select("term").distinct(), "asked")
+    terms = held.filter("inside").select("age_days", F.explode(terms_of(F.col("text"))).alias("term"))
+    few = bounded(asked, MOST_BROADCAST)
+    terms = terms if few is asked else terms.join(few, "term", "left_semi")
+    counts = terms.groupBy("term").agg(F.count("*").alias("df"), F.max("age_days").alias("age"))
     idf = F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0
-    stats = counted.groupBy("term").agg(F.sum("df").alias("df"), F.max("age").alias("age")).select("term", ((F.col("df") + 0.5) / (total + 0.5)).alias("share"), idf.alias("idf"), F.coalesce(1.0 / F.log(F.col("age") + math.e), F.lit(1.0)).alias("novelty"))
+    stats = asked.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    stats = stats.select("term", ((F.col("df") + 0.5) / (total + 0.5)).alias("share"), idf.alias("idf"), F.coalesce(1.0 / F.log(F.col("age") + math.e), F.lit(1.0)).alias("novelty"))
     stats = written(stats, "stats")
-    sizes = held.groupBy("cluster").agg(F.count("*").alias("size"))
-    found = counted.filter("cluster is not null").groupBy("cluster", "term").agg(F.sum("hits").alias("hits"), F.count("support_key").alias("support")).filter(F.col("support") >= LEAST_SUPPORT)
-    found = even_join(written(found, "supported"), stats.filter(F.col("share") <= MOST_SHARE), ["term"], "cluster")
+    sizes = sizes.select("cluster", "size")
+    found = even_join(supported, stats.filter(F.col("share") <= MOST_SHARE), ["term"], "cluster")
     parts = F.split("term", " ")
     rare = stats.filter(F.col("idf") >= LEAST_PART_IDF).select(F.col("term").alias("part"))
     single, pairs = found.filter(~F.contains("term", F.lit(" "))), found.filter(F.contains("term", F.lit(" ")))
