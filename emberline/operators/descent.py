@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,6 +18,8 @@ from emberline.registry import query
 
 #: Rows to a partition (about 80 MB for 100 features).  Where all rows fit in one, its task takes all steps.
 PART_ROWS = 100_000
+#: Parts whose sums, one short vector each, come to the driver as they are; sums of more parts are added up on the way.
+MOST_SUMS = 64
 
 
 @dataclass(frozen=True)
@@ -105,7 +108,12 @@ def _descend(blocks: RDD, start: np.ndarray, steps: int, change: Callable[[int,
     state = start
     for step in range(steps):
         now = state
-        state = change(step, now, blocks.treeAggregate(zero, lambda t, b, now=now: add(t, b, now), np.add))
+        if blocks.getNumPartitions() <= MOST_SUMS:
+            sums = blocks.mapPartitions(lambda own, now=now: [functools.reduce(lambda t, b: add(t, b, now), own, zero)]).collect()
+            total = functools.reduce(np.add, sums)
+        else:
+            total = blocks.treeAggregate(zero, lambda t, b, now=now: add(t, b, now), np.add)
+        state = change(step, now, total)
     return state
 
 
