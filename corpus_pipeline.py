@@ -57,7 +57,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from emberline.llm.packing import pack
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), forget=True)
+    # By now an executor's memory is mostly taken, so a worker holds small slices.
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), forget=True, slice_bytes=1 << 20)
 
 
 STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", packing)]

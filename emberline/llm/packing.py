@@ -156,13 +156,13 @@ def assign(pieces: list[tuple[int, int, int]], room: list[int]) -> tuple[list[tu
     return placed, left
 
 
-def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, block_tokens: int = 1_000_000, remembered: int = MAX_REMEMBERED, key: str = "doc_id", text: str = "text", forget: bool = False) -> DataFrame:
+def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, block_tokens: int = 1_000_000, remembered: int = MAX_REMEMBERED, key: str = "doc_id", text: str = "text", forget: bool = False, slice_bytes: int = 4 << 20) -> DataFrame:
     """Pack every row's ids (its text's, then end_id) into sequences; one output row per piece.
 
     Null texts count as empty (end_id only), null keys stay null, repeated rows are packed each on
     its own, other columns are ignored, an empty table gives no rows.  A sequence never spans tasks;
     its id holds the partition in the upper 32 bits and a running number below.  Texts are taken in
-    slices of bounded bytes, so a task holds one slice, one block and the longest text; remembered bounds
+    slices of slice_bytes (smaller ones take less memory and more time), so a task holds one slice, one block and the longest text; remembered bounds
     the chunks that a worker process keeps between tasks, and with forget it keeps none, nor the
     vocabulary, which suits a session whose workers have other work to do.
     """
@@ -193,8 +193,8 @@ def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, block_
             types = [pa.int64()] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in gathered(batches, 1):
-            for part in slices(batch, 1, 4 << 20):
+        for batch in gathered(batches, 1, slice_bytes):
+            for part in slices(batch, 1, slice_bytes):
                 ids, sizes = encoder.encode(pc.fill_null(part.column(1), ""))
                 for doc_id, own in zip(part.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
                     own = np.append(own, np.uint32(end_id)).astype("<u4", copy=False)
