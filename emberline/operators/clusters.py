@@ -1,4 +1,4 @@
-"""Density clusters of vectors: mutual-reachability graph in blocks, leaves of the cluster tree by contraction rounds."""
+"""Density clusters of vectors: spanning forests of near pairs in blocks, leaves of the cluster tree by rounds of joins."""
 
 from __future__ import annotations
 
@@ -16,17 +16,23 @@ NICHE_STRENGTH, EXEMPLARS = 0.30, 5
 UPLOADS = {"least": 2, "most": 60, "mean": 0.72, "lowest": 0.62}
 QUESTIONS = {"least": 3, "most": 60, "mean": 0.62, "lowest": -1.0}
 LEAST_CHANNELS, LEAST_ASKERS, LEAST_VIDEOS = 2, 3, 2
-#: Vectors in a block; a task holds the distances of two blocks, 32 MB.
-BLOCK = 1024
+#: Vectors in a block; a task holds those of two blocks and the distances of CHUNK of them to the others, 32 MB.
+BLOCK, CHUNK = 1 << 14, 256
+#: Edges that a task holds before it keeps a spanning forest of them, and edges of the parts that one task joins.
+EDGES, ENDS = 1 << 20, 400_000
 
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _once(value: Column, body) -> Column:
+    """body(value) with a value that is computed once a row, not for each element of an array in body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _unit(vector: Column) -> Column:
-    norm = F.sqrt(_dot(vector, vector))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    return _once(vector, lambda v: _once(F.sqrt(_dot(v, v)), lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))))
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -53,114 +59,204 @@ def without_niche(units: DataFrame, strength: float = NICHE_STRENGTH) -> DataFra
     along = F.array(*[F.lit(float(x)) for x in niche]) if len(niche) else F.col("raw")
     if strength <= 0 or not len(niche):
         return units.withColumn("vector", F.col("raw"))
-    held = units.withColumn("_part", _dot(F.col("raw"), along) * strength)
-    return held.select("id", "raw", _unit(F.zip_with("raw", along, lambda x, n: x - F.col("_part") * n)).alias("vector"))
-
-
-def _distances(x: np.ndarray) -> np.ndarray:
-    """All distances, to 12 decimals, so that one pair has one distance in every block."""
-    norms = (x * x).sum(1)
-    squares = np.maximum(norms[:, None] + norms[None, :] - 2 * (x @ x.T), 0)
-    near = np.argwhere(np.triu(squares < 1e-3, 1))
-    for at in range(0, len(near), 10_000):  # differences of near vectors would lose their digits
-        a, b = near[at : at + 10_000].T
-        squares[a, b] = squares[b, a] = ((x[a] - x[b]) ** 2).sum(1)
-    found = np.round(np.sqrt(squares), 12)
-    np.fill_diagonal(found, np.inf)
-    return found
+    rest = _once(_dot(F.col("raw"), along) * strength, lambda part: F.zip_with("raw", along, lambda x, n: x - part * n))
+    return units.select("id", "raw", _unit(rest).alias("vector"))
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of x and y, but for rounding errors that `_slack` covers."""
+    one = np.ones
+    return np.hstack([x, one((len(x), 1)), (x * x).sum(1)[:, None]]) @ np.hstack([-2 * y, (y * y).sum(1)[:, None], one((len(y), 1))]).T
+
+
+def _slack(*vectors: np.ndarray) -> float:
+    return 1e-9 * (1 + max((x * x).sum(1).max() for x in vectors))
+
+
+def _bounded(rows: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Each row with a square that its `most` nearest rows do not exceed, from those of its own block."""
+    x = np.stack(rows["vector"])
+    rows = rows[["id", "vector", "block"]].assign(bound=np.inf)
+    if len(x) > most:
+        # A row is among its own nearest ones.
+        nearest = [np.partition(_squares(x[at : at + CHUNK], x), most, axis=1)[:, most] for at in range(0, len(x), CHUNK)]
+        rows["bound"] = np.concatenate(nearest) + _slack(x)
+    return rows
+
+
+def _spanning(nodes: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The edges (as places in x, y, w) of a least spanning forest; all parts' shortest edges are taken at once, edges of one length in one order."""
+    order = np.argsort(w, kind="stable")
+    x, y, kept = x[order], y[order], []
+    place = np.arange(len(order))
+    while len(x):
+        best = np.full(nodes, len(order))
+        for ends in (x, y):  # of several values for one place the last one stays, so the shortest edge
+            mine = np.full(nodes, len(order))
+            mine[ends[::-1]] = place[::-1]
+            best = np.minimum(best, mine)
+        parts = np.flatnonzero(best < len(order))
+        edges = np.searchsorted(place, best[parts])
+        kept.append(np.unique(best[parts]))
+        to = np.arange(nodes)
+        to[parts] = np.where(x[edges] == parts, y[edges], x[edges])
+        both = (to[to] == np.arange(nodes)) & (np.arange(nodes) < to)
+        to[both] = np.flatnonzero(both)
+        while (to[to] != to).any():
+            to = to[to]
+        x, y = to[x], to[y]
+        apart = x != y
+        x, y, place = x[apart], y[apart], place[apart]
+    return order[np.concatenate(kept)] if kept else order
 
 
-def _by_blocks(points: DataFrame, blocks: int, run, schema: str) -> DataFrame:
-    """Run a function over every two blocks of points together (and over each block with itself)."""
-    dealt = points.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    pairs = met.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_block", "_other")
-    return pairs.groupBy("_i", "_j").applyInPandas(run, schema)
-
+def _forest(rows: pd.DataFrame) -> pd.DataFrame:
+    """A least spanning forest of the near pairs of one block, or of near pairs between two: no farther apart than the bound of either."""
+    rows = rows.sort_values("block", kind="stable")
+    x, bound, ids = np.stack(rows["vector"]), rows["bound"].to_numpy(), rows["id"].to_numpy()
+    split = int((rows["block"] == rows["block"].iloc[0]).sum())
+    alone = split == len(x)
+    if alone and rows["_i"].iloc[0] != rows["_j"].iloc[0]:  # the other block is empty
+        return pd.DataFrame({"x": ids[:0], "y": ids[:0], "w": bound[:0]})
+    start, more = (0, 0.0) if alone else (split, _slack(x))
+    others, held, many = x[start:], [np.zeros((3, 0))], 0
+    for at in range(0, split, CHUNK):
+        to = min(at + CHUNK, split)
+        squares = _squares(x[at:to], others)
+        a, b = np.nonzero((squares <= bound[at:to, None] + more) | (squares <= bound[None, start:] + more))
+        a, b = a + at, b + start
+        a, b = (a[a < b], b[a < b]) if alone else (a, b)
+        # Differences, to 12 decimals, so that one pair has one distance everywhere.
+        w = np.concatenate([np.zeros(0), *[np.round(np.sqrt(((x[a[k : k + 50_000]] - x[b[k : k + 50_000]]) ** 2).sum(1)), 12) for k in range(0, len(a), 50_000)]])
+        held.append(np.stack([a, b, w]))
+        many += len(a)
+        if many > EDGES or to == split:
+            a, b, w = np.concatenate(held, axis=1)
+            tree = _spanning(len(x), a.astype(np.int64), b.astype(np.int64), w)
+            held, many = [np.stack([a[tree], b[tree], w[tree]])], 0
+    a, b, w = held[0]
+    return pd.DataFrame({"x": ids[a.astype(np.int64)], "y": ids[b.astype(np.int64)], "w": w})
+
+
+def near_edges(points: DataFrame, most: int) -> DataFrame:
+    """(x, y, w): edges among points (id, vector) that join the same points at every distance as all pairs do, as long as a part has at most `most` points.
+
+    The mutual reachability of two points is their distance here, as it is at least that of each to its nearest
+    other row.  A part of at most `most` points leaves each of its points one of its `most` nearest ones to be
+    reached, so pairs that are farther apart for both never join a part before it is too large to be followed.
+
+    Blocks first give each point a bound for these.  Then every two blocks meet in one task, which keeps a least spanning forest of
+    the pairs within a bound: an edge that is no part of it is the longest of some circle and joins nothing.  All pairs are
+    compared by matrix products, which is what exact density clusters cost; what is kept is linear in points and blocks.
+    """
+    blocks = max(1, -(-points.count() // BLOCK))
+    dealt = points.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    held = written(dealt.groupBy("block").applyInPandas(lambda rows: _bounded(rows, most), "id bigint, vector array<double>, block bigint, bound double"), "bounds")
+    met = held.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    pairs = met.withColumns({"_i": F.least("block", "_other"), "_j": F.greatest("block", "_other")}).drop("_other")
+    return pairs.groupBy("_i", "_j").applyInPandas(_forest, "x bigint, y bigint, w double")
 
-def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"id": rows["id"], "near": _distances(np.stack(rows["vector"])).min(1)})
 
+def _settled(parts: pd.DataFrame, ends: pd.DataFrame, least: int, most: int) -> pd.DataFrame:
+    """Raise the distance over the edges of these parts as far as no part elsewhere matters: leaves found and parts left.
 
-def _forest(rows: pd.DataFrame) -> pd.DataFrame:
-    """A least spanning tree of the block's mutual reachability, grown from its first point."""
-    ids, core = rows["id"].to_numpy(), rows["core"].to_numpy()
-    reach = np.maximum(np.maximum(core[:, None], core[None, :]), _distances(np.stack(rows["vector"])))
-    best, came = reach[0].copy(), np.zeros(len(ids), int)
-    best[0] = np.nan
-    edges = []
-    for _ in range(len(ids) - 1):
-        at = int(np.nanargmin(best))
-        edges.append((ids[came[at]], ids[at], best[at]))
-        shorter = reach[at] < best
-        best[shorter], came[shorter] = reach[at][shorter], at
-        best[at] = np.nan
-    return pd.DataFrame(edges, columns=["x", "y", "w"])
-
-
-def reachability(points: DataFrame) -> DataFrame:
-    """(x, y, w): edges among points (id, vector, copies) that join the same points at every distance as all mutual
-    reachability distances do; the distance of two points is at least that of each to its nearest other row.
-
-    Every two blocks meet in one task, which keeps a least spanning tree: an edge that is no part of
-    it is the longest of some circle and joins nothing.  All pairs are compared, once for the nearest row and once for the
-    trees, which is what exact density clusters cost; what is kept is linear in points and blocks.
+    A part whose next edge leads elsewhere, or to a part that waits, waits itself.
     """
-    blocks = max(1, -(-points.count() // BLOCK))
-    near = _by_blocks(points.select("id", "vector"), blocks, _nearest, "id bigint, near double").groupBy("id").agg(F.min("near").alias("near"))
-    core = F.when(F.col("copies") > 1, 0.0).otherwise(F.col("near"))
-    held = written(points.join(near, "id").select("id", "vector", core.alias("core")), "cores")
-    trees = _by_blocks(held, blocks, _forest, "x bigint, y bigint, w double")
-    return trees.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "w").groupBy("x", "y").agg(F.min("w").alias("w"))
+    n = len(parts)
+    names = pd.Index(parts["part"].to_numpy())
+    x, y, w = names.get_indexer(ends["x"].to_numpy()), names.get_indexer(ends["y"].to_numpy()), ends["w"].to_numpy()
+    y = np.where(x == y, n, y)  # an edge to a large part comes with its own end twice
+    wait = np.full(n + 1, np.inf)
+    np.minimum.at(wait, x[y < 0], w[y < 0])
+    inner = np.flatnonzero(x < y)
+    inner = inner[np.argsort(w[inner], kind="stable")]
+    x, y, w, wait = x[inner].tolist(), y[inner].tolist(), w[inner].tolist(), wait.tolist()
+    size, simple, members = parts["n"].tolist() + [0], parts["simple"].tolist() + [False], [list(m) for m in parts["members"]] + [[]]
+    olds, gone, above, found = [[p] for p in names] + [[]], [False] * n + [True], list(range(n + 1)), []
+
+    def root(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    at = 0
+    while at < len(w):
+        to, groups = at, {}
+        while to < len(w) and w[to] == w[at]:  # parts that meet at one distance, all at once
+            a, b = root(x[to]), root(y[to])
+            if a != b:
+                left, right = groups.setdefault(a, {a}), groups.setdefault(b, {b})
+                if left is not right:
+                    left, right = (left, right) if len(left) >= len(right) else (right, left)
+                    left |= right
+                    groups.update(dict.fromkeys(right, left))
+            to += 1
+        for joined in {id(g): g for g in groups.values()}.values():
+            small = [i for i in joined if not gone[i]]
+            beside = len(small) < len(joined)
+            if any(wait[i] <= w[at] for i in small):
+                for i in small:
+                    wait[i] = min(wait[i], w[at])
+                continue
+            bigs, total = [i for i in small if size[i] >= least], sum(size[i] for i in small)
+            if len(bigs) + beside >= 2:
+                found += [(True, parts["part"].iloc[i], size[i], True, members[i].copy(), []) for i in bigs if simple[i]]
+            into = min(joined, key=lambda i: (not gone[i], -len(members[i]), i))
+            gone[into] = beside or total > most
+            if not gone[into]:
+                whole = False if len(bigs) > 1 else simple[bigs[0]] if bigs else total >= least
+                size[into], simple[into], wait[into] = total, whole, min(wait[i] for i in small)
+            for i in joined:
+                above[i] = into
+                if i != into:
+                    if not gone[into]:
+                        members[into] += members[i]
+                        olds[into] += olds[i]
+                    members[i] = olds[i] = None
+        at = to
+    left = [(False, parts["part"].iloc[i], size[i], simple[i], members[i], olds[i]) for i in range(n) if above[i] == i and not gone[i]]
+    return pd.DataFrame(found + left, columns=["leaf", "part", "n", "simple", "members", "olds"])
 
 
 def leaves(copies: DataFrame, edges: DataFrame, least: int, most: int) -> DataFrame:
     """(cluster, members): the leaves of the density tree that have `least` to `most` rows, as lists of points.
 
-    copies: (id, n) points with their number of rows; edges: (x, y, w) as from `reachability`.  Raising the distance joins parts; a join of
+    copies: (id, n) points with their number of rows; edges: (x, y, w) as from `near_edges`.  Raising the distance joins parts; a join of
     two or more parts of at least `least` rows is a split of the tree, and such a part is a leaf if it
     holds no split itself.  Parts that meet at one distance join at once, so ties have no order.  The
     whole is no leaf.
 
-    A round joins all parts that are each other's nearest: nothing can come before.  A part of over
-    `most` rows is no longer followed, as no leaf can come of it, and whatever is nearest to it is
-    settled at once; so a part takes part in at most `most` rounds, and its list of points is bounded.
+    A round deals parts out so that those which are linked by their nearest ones come to one task, of about ENDS edges.  The task joins all
+    that it can without the others.  A part of over `most` rows is no longer followed, as no leaf can come of it, and whatever
+    is nearest to it is settled; so a part's list of points is bounded.  What is left fits one task at last.
     """
     active = copies.filter(F.col("n") <= most)
-    parts = written(active.select(F.col("id").alias("part"), F.array("id").alias("members"), "n", (F.col("n") >= least).alias("simple")), "parts")
-    ends = edges.select("x", "y", "w").union(edges.select("y", "x", "w"))
+    parts = active.select(F.col("id").alias("part"), F.col("n").cast("bigint").alias("n"), (F.col("n") >= least).alias("simple"), F.array("id").alias("members"))
     known = active.select(F.col("id").alias("x"))
+    ends = edges.select("x", "y", "w").union(edges.select("y", "x", "w"))
     # A large part has no name: y is null.
-    ends = ends.join(known, "x").join(known.select(F.col("x").alias("y"), F.col("x").alias("_y")), "y", "left").select("x", F.col("_y").alias("y"), "w")
+    ends = written(ends.join(known, "x").join(known.select(F.col("x").alias("y"), F.col("x").alias("_y")), "y", "left").select("x", F.col("_y").alias("y"), "w"), "ends")
     found: list[DataFrame] = []
-    while True:
-        ends = written(ends.groupBy("x", "y").agg(F.min("w").alias("w")), "ends")
-        nearest = ends.join(ends.groupBy("x").agg(F.min("w").alias("w")), ["x", "w"])
-        back = nearest.filter("y is not null").select(F.col("y").alias("x"), F.col("x").alias("y"), "w", F.lit(True).alias("_back"))
-        near = written(nearest.join(back, ["x", "y", "w"], "left").select("x", "y", (F.col("y").isNull() | F.col("_back").isNotNull()).alias("mutual")), "near")
-        # A part with several nearest ones needs components; two parts are named after the lesser.
-        many = near.groupBy("x").agg(F.count_if(F.col("mutual") & F.col("y").isNotNull()).alias("n")).agg(F.max("n")).first()[0]
-        if many is None:
-            break
-        group = near.groupBy("x").agg(F.min(F.when(F.col("mutual"), F.col("y"))).alias("y"), F.max(F.col("y").isNull()).alias("large"), F.max(~F.col("mutual")).alias("waits"))
-        if many > 1:
-            named = components(near.filter("mutual and y is not null"), "x", "y").withColumnsRenamed({"node": "x", "component": "group"})
-            group = group.join(named, "x", "left").withColumn("group", F.coalesce("group", "x"))
+    schema = "leaf boolean, part bigint, n bigint, simple boolean, members array<bigint>, olds array<bigint>"
+    while many := ends.count():
+        tasks = -(-many // ENDS)
+        if tasks == 1:
+            label = parts.select("part", F.lit(0).cast("bigint").alias("task"))
         else:
-            group = group.withColumn("group", F.coalesce(F.least("x", "y"), "x"))
-        held = group.select("x", "group", "large", "waits").join(parts.withColumnRenamed("part", "x"), "x")
-        big = F.col("n") >= least
-        sums = held.groupBy("group").agg(F.max("waits").alias("waits"), F.max("large").alias("beside"), F.sum("n").alias("total"), F.count_if(big).alias("bigs"), F.max(big & F.col("simple")).alias("one"))
-        joined = held.drop("waits").join(sums.filter("not waits").drop("waits"), "group")
-        joined = written(joined.withColumn("gone", F.col("beside") | (F.col("total") > most)), "joined")
-        split = F.col("bigs") + F.col("beside").cast("int") >= 2
-        found.append(joined.filter(big & F.col("simple") & split).select(F.col("x").alias("cluster"), "members"))
-        simple = F.when(F.col("bigs") > 1, False).when(F.col("bigs") == 1, F.col("one")).otherwise(F.col("total") >= least)
-        grown = joined.filter("not gone").groupBy(F.col("group").alias("part"), F.col("total").alias("n"), simple.alias("simple")).agg(F.flatten(F.collect_list("members")).alias("members"))
-        parts = written(parts.join(joined.select(F.col("x").alias("part")), "part", "left_anti").unionByName(grown), "parts")
-        moved = joined.select("x", F.when(~F.col("gone"), F.col("group")).alias("_to"), F.lit(True).alias("_moved"))
-        ends = ends.join(moved, "x", "left").select(F.when(F.col("_moved"), F.col("_to")).otherwise(F.col("x")).alias("x"), "y", "w").filter("x is not null")
-        ends = ends.join(moved.withColumnRenamed("x", "y"), "y", "left").select("x", F.when(F.col("_moved"), F.col("_to")).otherwise(F.col("y")).alias("y"), "w").filter("y is null or x <> y")
+            nearest = ends.join(ends.groupBy("x").agg(F.min("w").alias("w")), ["x", "w"]).filter("y is not null").select("x", "y")
+            near = components(nearest, "x", "y").withColumnsRenamed({"node": "part", "component": "near"})
+            label = written(parts.select("part").join(near, "part", "left").select("part", F.pmod(F.xxhash64(F.coalesce("near", "part")), F.lit(tasks)).alias("task")), "tasks")
+        left, right = parts.join(label, "part").groupBy("task"), ends.join(label.select(F.col("part").alias("x"), F.col("task").alias("_task")), "x").select("x", F.coalesce("y", "x").alias("y"), "w", "_task").groupBy("_task")
+        settled = written(left.cogroup(right).applyInPandas(lambda p, e: _settled(p, e, least, most), schema), "settled")
+        found.append(settled.filter("leaf").select("part", "members"))
+        if tasks == 1:
+            break
+        parts = settled.filter("not leaf").select("part", "n", "simple", "members")
+        moved = settled.filter("not leaf").select(F.col("part").alias("_to"), F.explode("olds").alias("x"))
+        ends = ends.join(moved, "x").select(F.col("_to").alias("x"), "y", "w")
+        ends = ends.join(moved.select(F.col("x").alias("y"), F.col("_to").alias("_y")), "y", "left").select("x", F.col("_y").alias("y"), "w")
+        ends = written(ends.filter("y is null or x <> y").groupBy("x", "y").agg(F.min("w").alias("w")), "ends")
     every = parts.select("part", "members").limit(0)
     for more in found:
         every = every.union(more)
@@ -174,7 +270,7 @@ def density_clusters(vectors: DataFrame, least: int, most: int) -> DataFrame:
     """
     same = written(vectors.select("id", F.transform("vector", lambda x: F.round(x, 12) + 0.0).alias("vector")), "vectors")
     points = written(same.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "points")
-    found = written(leaves(points.select("id", F.col("copies").alias("n")), reachability(points), least, most), "leaves")
+    found = written(leaves(points.select("id", F.col("copies").alias("n")), near_edges(points.select("id", "vector"), most), least, most), "leaves")
     named = found.select(F.array_min("members").alias("cluster"), F.explode("members").alias("point"))
     rows = even_join(same, points.select("vector", F.col("id").alias("point")), ["vector"], "id").select("id", "point")
     return even_join(rows, named, ["point"], "id").select("cluster", "id")
