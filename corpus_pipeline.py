@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bounded, small_batches, table, without, written
+from emberline.llm.common import BATCH, FILES, bounded, small_batches, table, without, written
 
 #: A document is rejected for its language if no profile comes this near (or it has no letter).
 LEAST_LANGUAGE_SCORE = 0.2
@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that some language's profile fits; null texts and texts without a letter go."""
     from emberline.llm.language import in_known_language
 
-    small_batches(spark)
+    small_batches(spark, BATCH | FILES)  # for all stages
     return in_known_language(docs, LEAST_LANGUAGE_SCORE)
 
 
@@ -57,8 +57,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from emberline.llm.packing import pack
 
-    # By now an executor's memory is mostly taken, so a worker holds small slices.
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), forget=True, slice_bytes=1 << 20)
+    # By now an executor's memory is mostly taken, so a worker holds small slices and remembers few chunks.
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=30_000, forget=True, slice_bytes=1 << 20)
 
 
 STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", packing)]
