@@ -14,7 +14,7 @@ from itertools import count, islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, gathered, lean, spread_join, written
@@ -192,6 +192,28 @@ def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3) -> DataFra
     return found.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0))
 
 
+def score(a: str, left: str, right: str) -> Column:
+    """floor(1000000 a a / (l r)) of these columns."""
+    a, left, right = (f"cast({c} AS decimal(38,0))" for c in (a, left, right))
+    return F.expr(f"({a} * {a} * 1000000BD) DIV ({left} * {right})")
+
+
+def possible(ends: DataFrame, longest: int, keep: int) -> DataFrame:
+    """The candidates (lang, size, phrase, a; l and r: counts of their first and last words) that can be among a language's best, with `least`.
+
+    No count of a phrase is above those of its words or below those of longer phrases that hold it.  So a phrase's score is
+    at least `least`, that of its end words (of two words it is that), and one of three words scores at most floor(1000000 a / max(l, r)).
+    Phrases of `longest` words are in no longer one and stay: if `keep` of them have at least some score, none below it is needed.
+    """
+    bounds = ends.withColumn("least", score("a", "l", "r"))
+    most = F.when(F.col("size") == 2, F.col("least")).otherwise(F.expr("(cast(a AS decimal(38,0)) * 1000000BD) DIV cast(greatest(l, r) AS decimal(38,0))"))
+    # Scores are at most 1000000, so a language has a few hundred bins.
+    bins = bounds.filter(F.col("size") == longest).groupBy("lang", F.floor(16 * F.log2(F.col("least") + 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("least").alias("floor"))
+    reached = bins.withColumn("above", F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("bin"))))
+    floors = written(reached.filter(F.col("above") >= keep).groupBy("lang").agg(F.max("floor").alias("_floor")), "floors")
+    return bounds.join(bounded(floors), "lang", "left").filter(F.col("_floor").isNull() | (most >= F.col("_floor"))).drop("_floor")
+
+
 def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int = 50, keep: int = 2000) -> DataFrame:
     """Each language's best `keep` phrases: (lang, rank, phrase, a, l, r, n, score).
 
@@ -204,23 +226,30 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int
     """
     counts = written(phrase_counts(docs, least, longest), "phrases")
     words = F.split("phrase", " ")
-    phrases = counts.filter("size >= 2").select("lang", "size", "phrase", F.col("f").alias("a"))
-
-    spans = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("size") - n + 1), lambda at: F.array_join(F.slice(words, at, n), " "))))
-    held = phrases.filter("size > 2").select("lang", F.explode(spans).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
-    kept = phrases.join(held, ["lang", "phrase"], "left").filter(F.col("_longer").isNull() | (100 * F.col("_longer").cast("decimal(38,0)") < share * F.col("a").cast("decimal(38,0)")))
-
-    cuts = kept.select("lang", "phrase", "a", "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    first, rest = F.array_join(F.slice(words, 1, F.col("k")), " "), F.array_join(F.slice(words, F.col("k") + 1, F.col("size") - F.col("k")), " ")
-    ends = cuts.select("lang", "phrase", "a", "k", first.alias("_first"), rest.alias("_rest"))
-    parts = counts.filter("size >= 1").select("lang", F.col("phrase").alias("_part"), "f")
-    for end, name in (("_first", "l"), ("_rest", "r")):
-        ends = written(spread_join(ends, parts.withColumnsRenamed({"_part": end, "f": name}), ["lang", end], "phrase"), "ends")
-    score = F.expr("(cast(a AS decimal(38,0)) * cast(a AS decimal(38,0)) * 1000000BD) DIV (cast(l AS decimal(38,0)) * cast(r AS decimal(38,0)))")
-    weakest = ends.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("_cut"))
+    ends = counts.filter("size >= 2").select("lang", "size", "phrase", F.col("f").alias("a"), F.element_at(words, 1).alias("_first"), F.element_at(words, -1).alias("_last"))
+    single = counts.filter("size = 1").select("lang", "phrase", "f")
+    for end, name in (("_first", "l"), ("_last", "r")):
+        ends = written(spread_join(ends, single.withColumnsRenamed({"phrase": end, "f": name}), ["lang", end], "phrase").drop(end), "ends")
+    hopeful = written(possible(ends, longest, keep), "hopeful")
+
+    # Pairs go where a longer candidate holds them, hopeful or not.
+    pairs, triples = hopeful.filter("size = 2").select("lang", "phrase", "a", "l", "r", F.col("least").alias("score")), hopeful.filter("size = 3")
+    first, rest = F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, 2, 2), " ")
+    longer = counts.filter("size = 3").select("lang", F.col("phrase").alias("_whole"), first.alias("_first"), rest.alias("_rest"), F.col("f").alias("_longer"))
+    names = pairs.select("lang", "phrase")
+    holders = [spread_join(longer.select("lang", F.col(end).alias("phrase"), "_longer", "_whole"), names, ["lang", "phrase"], "_whole", "left_semi") for end in ("_first", "_rest")]
+    held = holders[0].unionByName(holders[1]).groupBy("lang", "phrase").agg(F.max("_longer").alias("_longer"))
+    kept = pairs.join(held, ["lang", "phrase"], "left").filter(F.col("_longer").isNull() | (100 * F.col("_longer").cast("decimal(38,0)") < share * F.col("a").cast("decimal(38,0)"))).drop("_longer")
+
+    double = counts.filter("size = 2").select("lang", "phrase", "f")
+    cuts = triples.select("lang", "phrase", "a", "l", "r", first.alias("_first"), rest.alias("_rest"))
+    for end in ("_first", "_rest"):
+        cuts = written(spread_join(cuts, double.withColumnsRenamed({"phrase": end, "f": f"{end}_f"}), ["lang", end], "phrase"), "cuts")
+    both = [F.struct(score("a", left, right).alias("score"), F.lit(k).alias("k"), F.col(left).alias("l"), F.col(right).alias("r")) for k, left, right in ((1, "l", "_rest_f"), (2, "_first_f", "r"))]
+    weakest = cuts.select("lang", "phrase", "a", F.least(*both).alias("_cut"))
+    scored = kept.unionByName(weakest.select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score"))
 
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    scored = weakest.select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score")
     # The best of each of 32 shares of a language come first, so no task orders a whole language.
     shares = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(32))).orderBy(*order)
     best = scored.withColumn("_place", F.row_number().over(shares)).filter(F.col("_place") <= keep)
