@@ -29,3 +29,13 @@ def test_every_vector_has_its_answers(spark, monkeypatch, block):
         want |= {(a.vec_id, other) for _, other in best[:5]}
     got = {(r.q, r.answer) for r in answer_search(spark, SF).collect()}
     assert got == want and len({q for q, _ in got}) > len(rows) // 10
+
+
+def test_every_vector_has_its_neighbourhood(spark):
+    rows, total = rows_of(spark)
+    want = set()
+    for i, a in enumerate(rows):
+        best = sorted((-round(total[i, j], 6), b.vec_id, total[i, j]) for j, b in enumerate(rows) if j != i)
+        want |= {(a.vec_id, other) for _, other, s in best[:30] if s >= 0.25}
+    got = {(r.q, r.other) for r in neighbourhood(spark, SF).collect()}
+    assert got == want and len({q for q, _ in got}) > len(rows) // 10
