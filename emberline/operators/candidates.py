@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberline.operators.adoption import burst_states, visible_only
 from emberline.operators.anchors import anchors
 from emberline.operators.clusters import LEAST_CHANNELS, UPLOADS, cohesive_clusters
-from emberline.operators.families import evidence_verdicts, template_channels
+from emberline.operators.families import evidence_verdicts, frequent, template_channels
 from emberline.plans.dialect import render, spark_sql
 from emberline.plans.tables import bounded, even_join, written
 from emberline.registry import query
@@ -96,8 +96,9 @@ def build_candidates(videos: DataFrame, vectors: DataFrame, as_of: datetime) ->
     # Copies follow the earliest upload, so ids are put in order of time.
     timed = F.concat(F.date_format("published_at", "yyyyMMddHHmmss"), F.lit("-"), F.lpad(F.col("id").cast("string"), 20, "0")).alias("id")
     recent = visible.filter(F.col("published_at") >= F.lit(as_of - timedelta(days=HISTORY)))
-    templates = written(template_channels(recent.select("channel", timed, "title"), visible.select("title")), "templates")
-    verdicts = written(evidence_verdicts(members.select(F.col("cluster").alias("topic"), timed, "channel", "title"), visible.select("title"), templates), "verdicts")
+    common = frequent(visible.select("title"))  # one pass over all titles for both
+    templates = written(template_channels(recent.select("channel", timed, "title"), common), "templates")
+    verdicts = written(evidence_verdicts(members.select(F.col("cluster").alias("topic"), timed, "channel", "title"), common, templates), "verdicts")
 
     named = terms.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]).alias("anchors"))
     lists = members.groupBy("cluster").agg(F.first("centroid").alias("centroid"), F.collect_set(F.col("id").cast("string")).alias("members"), F.collect_set("channel").alias("channels"))
