@@ -7,7 +7,7 @@ import numpy as np
 #: Bits of a token's key that hold how frequent it is; the others are of its hash.
 WEIGHT = 6
 #: Shared first tokens that are counted, rows that are counted at a time and sets whose tokens are marked at a time (bits of a number).
-SHARED, CHUNK, MARKS = 4, 1 << 22, 64
+SHARED, CHUNK, MARKS = 4, 1 << 20, 64
 
 
 def keys_of(hashes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
